@@ -144,13 +144,18 @@ def forest(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return np.stack([fps[linked], fps[root[linked]]], axis=1) if len(linked) else np.empty((0, 2), np.uint64)
 
 
+def hot_limit(n: int, bits: int) -> int:
+    """Fingerprints of its own beyond which a bucket is split; a multiple of the mean."""
+    return max(4 * HOT * BUCKET, HOT * n >> bits)
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links a, b (signed fingerprints) whose components are those of all pairs within the radius. distinct: column fp."""
     half, n = radius // 2, distinct.count()
     bits = min(MOST_BITS, max(4, round(math.log2(max(1, n) / BUCKET))))
     spark = distinct.sparkSession
     home = F.shiftrightunsigned("fp", 64 - bits).alias("bucket")
-    limit = max(HOT * BUCKET * 4, HOT * n >> bits)
+    limit = hot_limit(n, bits)
     # At most n / limit <= 2 ** bits / HOT buckets can be hot.
     hot = {r["bucket"]: min(12, math.ceil(math.log2(r["n"] / limit)) + 2) for r in distinct.groupBy(home).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()}
 

@@ -15,7 +15,8 @@ tree and one block whatever the number of either.
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take
 no part; vectors of different lengths do not meet; rows with the query's own id are not its candidates;
 repeated query rows answer once, repeated candidates each take a rank; ties go to the smaller id; with
-fewer than k candidates all are returned. Squared norms beyond 2^52 are handled by plain integers without pruning.
+fewer than k candidates all are returned. Squared norms beyond 2^52 are handled by plain integers without pruning;
+scores beyond 64 bits are held at the largest or smallest of them.
 """
 
 import heapq
