@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their prefixes of four and five letters (inflections of a stem share them). Of
-the terms of the labelled examples those whose presence depends on the label (likelihood-ratio
-statistic G2) are kept; an example or a text is its TF-IDF vector over the kept terms. The index holds
+the terms of the labelled examples those whose presence depends on the label are kept (their
+likelihood-ratio statistic G2 is above what chance gives one of so many terms); an example or a text is its TF-IDF vector over the kept terms. The index holds
 each term's postings over the examples in blocks, with the largest weight in each block. A search
 bounds every block by the sum of its terms' largest weights, opens blocks from the highest bound on, and
 stops when no bound reaches the K-th cosine found: the K nearest are exact.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from codefacts.llm.common import batched, mapped, saved, text_of
 
-#: Labelled rows and terms that are fitted at most; neighbours; the least G2 of a term; examples in a block.
-EXAMPLES, TERMS, K, LEAST_G2, BLOCK = 4000, 5000, 15, 12.0, 64
+#: Labelled rows and terms that are fitted at most; neighbours; examples in a block.
+EXAMPLES, TERMS, K, BLOCK = 4000, 5000, 15, 64
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
 
@@ -204,7 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | Constant:
     cell = lambda seen, of, all_: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) * n / (F.col(of) * all_))).otherwise(0.0)
     table = seen.where("n > 2").withColumns({"a": F.col("y"), "b": F.col("n") - F.col("y"), "m": n - F.col("n")}).withColumns({"c": positive - F.col("a"), "d": n - positive - F.col("b")})
     g2 = 2 * (cell("a", "n", positive) + cell("b", "n", n - positive) + cell("c", "m", positive) + cell("d", "m", n - positive))
-    kept = saved(table.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS).select("term", "n"), "kept")
+    tested = saved(table.select("term", "n", g2.alias("g2")), "tested")
+    # Twice the logarithm of the number of terms: under one of them is expected above it by chance.
+    kept = saved(tested.where(F.col("g2") >= 2 * math.log(max(2, tested.count()))).orderBy(F.desc("g2"), "term").limit(TERMS).select("term", "n"), "kept")
     terms = sorted((r["term"], r["n"]) for r in kept.collect())  # TERMS at most
     place = {t: i for i, (t, _) in enumerate(terms)}
     idf = np.array([math.log((1 + n) / (1 + df)) + 1 for _, df in terms])
