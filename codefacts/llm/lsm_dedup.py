@@ -7,7 +7,7 @@ kept row has already are hits; each hit is compared with the kept row byte by by
 fail that comparison are grouped by their whole text instead.
 
 At scale: compaction moves digests only (partial aggregation takes hot digests), verification moves
-texts once by digest and the copies' texts once more. Both are plain equi joins, so that AQE splits
+texts once by digest, writes those of groups with copies and moves these once more. Both are plain equi joins, so that AQE splits
 the partition of a hot group. Nothing is collected.
 
 Defined cases: null texts count as empty; null ids sort after all others; repeated rows (same id,
@@ -56,6 +56,7 @@ class Index:
     def verified(self) -> DataFrame:
         """The hits, each compared with its kept row."""
         members = self.runs.select("digest", "tag", self.id.alias("id"), self.body.alias("body")).join(self.level.where("size > 1"), "digest")
+        members = saved(members, "members")
         keepers = members.where("tag = keep_tag").select(F.col("keep_tag").alias("of"), F.col("body").alias("kept_body"))
         hits = members.where("tag <> keep_tag").join(keepers, F.col("keep_tag") == F.col("of"))
         return hits.select("digest", "tag", "id", "keep_id", "keep_tag", "size", (F.col("body") == F.col("kept_body")).alias("same"))
