@@ -71,6 +71,8 @@ def _in_tasks(edges: DataFrame, roots: DataFrame, group: list[str], label: list[
             out += [(*of, n) for n in seen]
         return pa.table([pa.array([r[i] for r in out], type=start.schema.field(c).type) for i, c in enumerate([*names, "node"])], names=[*names, "node"])
 
+    # New column identities: edges and roots may come from one table.
+    edges, roots = edges.toDF(*edges.columns), roots.toDF(*roots.columns)
     return edges.groupBy(*keys).cogroup(roots.groupBy(*keys)).applyInArrow(closure, schema)
 
 
