@@ -595,9 +595,7 @@ class Parser:
         if annotation is None:
             raise SyntaxTrouble("not an index signature")
         self.need("]")
-        out = self.node("Index", start, [name, annotation, self.annotation()])
-        self.eat(";") or self.eat(",")
-        return out
+        return self.node("Index", start, [name, annotation, self.annotation()])
 
     def property_key(self) -> Node:
         t = self.token
@@ -1109,9 +1107,10 @@ class Parser:
                 parts.append(self.leaf_raw("JsxText"))
             elif self.at("{"):
                 parts.append(self.jsx_container())
-            elif self.at("<") and self.peek().text == "/":
-                self.advance()
-                self.advance()
+            elif self.at("<") and self.source.startswith("/", self.token.end):
+                # Not a regular expression.
+                self.tokens += [self.token, Token("punct", "/", self.token.end, self.token.end + 1, False)]
+                self.token = token_at(self.source, self.token.end + 1, False)
                 if not self.at(">"):
                     parts.append(self.jsx_name())
                 self.need(">")
