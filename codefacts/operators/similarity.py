@@ -1,24 +1,42 @@
 """Set and sequence similarity on token tables; no knowledge of programs or languages."""
 
-from __future__ import annotations
-
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 50
 
 
+def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` numbers: their sum with one odd factor for each place."""
+    n = len(hashes) - width + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    out, h = np.zeros(n, np.uint64), np.asarray(hashes, np.int64).view(np.uint64)
+    for j in range(width):
+        out += h[j : j + n] * FACTORS[j]
+    return out.view(np.int64)
+
+
+#: Odd factors by place, from one multiplier.
+FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1) for j in range(1024)]
+
+
 def windows(tokens: str | Column, width: int = WINDOW) -> Column:
-    """Hashes of all runs of ``width`` consecutive tokens, step one; none if there are fewer tokens."""
+    """Hashes of all runs of ``width`` consecutive tokens, step one; none if there are fewer tokens.
+
+    Tokens are hashed by Spark; the runs of a batch's rows are summed in Python, each token touched
+    ``width`` times as a number and not as text.
+    """
 
-    def of(t: Column) -> Column:
-        n = F.size(t)
-        starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(t, i, width)))
+    @F.pandas_udf("array<long>")
+    def runs(rows: pd.Series) -> pd.Series:
+        return pd.Series([rolled(r, width) if r is not None else [] for r in rows])
 
-    return F.flatten(F.transform(F.array(F.col(tokens) if isinstance(tokens, str) else tokens), of))
+    return runs(F.transform(F.col(tokens) if isinstance(tokens, str) else tokens, lambda t: F.xxhash64(t)))
 
 
 def once(value: Column) -> Column:
