@@ -84,18 +84,18 @@ def forest_paths(edges: DataFrame, eligible: DataFrame, group: Sequence[str] = (
     nodes are never entered. One join for each step of the longest path.
     """
     g = list(group)
-    edges = saved(edges.select(*g, "src", "dst").distinct(), "edges")
-    inside = saved(eligible.select(*g, "node").distinct(), "eligible")
-    to_inside = edges.join(inside.withColumnRenamed("node", "dst"), [*g, "dst"])
-    between = saved(to_inside.join(inside.withColumnRenamed("node", "src"), [*g, "src"], "left_semi"), "between")
-    entry = to_inside.join(inside.withColumnRenamed("node", "src"), [*g, "src"], "left_anti")
-    paths = saved(entry.select(*g, F.array("src", "dst").alias("path"), F.col("dst").alias("last")), "paths")
+    inside = eligible.select(*g, "node").distinct()
+    to_inside = edges.select(*g, "src", "dst").distinct().join(inside.withColumnRenamed("node", "dst"), [*g, "dst"])
+    flagged = to_inside.join(inside.withColumnRenamed("node", "src").withColumn("within", F.lit(True)), [*g, "src"], "left")
+    steps = saved(flagged.select(*g, "src", "dst", F.coalesce("within", F.lit(False)).alias("within")), "steps")
+    between = steps.where("within").select(*g, F.col("src").alias("last"), "dst")
+    onward = between.select(*g, "last").distinct()
+    paths = steps.where("not within").select(*g, F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
     done = None
     while True:
-        leaves = paths.join(between.select(*g, F.col("src").alias("last")).distinct(), [*g, "last"], "left_anti").where(F.size("path") >= least).select(*g, "path")
+        leaves = paths.join(onward, [*g, "last"], "left_anti").where(F.size("path") >= least).select(*g, "path")
         done = leaves if done is None else done.unionByName(leaves)
-        longer = paths.join(between.withColumnRenamed("src", "last"), [*g, "last"])
-        longer = longer.where(~F.array_contains("path", F.col("dst"))).select(*g, F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
-        paths = saved(longer, "paths")
+        longer = paths.join(between, [*g, "last"]).where(~F.array_contains("path", F.col("dst")))
+        paths = saved(longer.select(*g, F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last")), "paths")
         if paths.isEmpty():
             return done
