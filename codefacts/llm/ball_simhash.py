@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from codefacts.llm.common import mapped, saved
 
 SEED, WORDS, RADIUS = 42, 4, 4
+#: Fingerprints of a text's word set by which near copies are found.
+SETS = 4
 #: Fingerprints that a bucket should hold of its own, and the most leading bits.
 BUCKET, MOST_BITS = 64, 20
 #: A bucket is split when it receives so many times the mean.
@@ -220,8 +222,53 @@ def op9(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The row with the smallest id of each component, with its columns as it was; rows without an id stay."""
-    found = saved(near_duplicates(docs.select("doc_id", "text"), **options), "components")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+def word_fingerprints(text: str, many: int = SETS) -> list[int]:
+    """Majority bits of hashes of a text's distinct words, for so many hash functions.
+
+    An edit of one word moves one feature, not as many as a shingle has words: near copies stay within
+    a few bits. Texts of fewer than five distinct words are one feature, so that order tells them apart.
+    """
+    tokens = text.encode().lower().split()
+    if not tokens:
+        return [0] * many
+    features = set(tokens)
+    if len(features) < 5:
+        features = {b" ".join(tokens)}
+    plain = np.array([xxhash.xxh64_intdigest(f, SEED) for f in features], dtype=np.uint64)
+    out = []
+    for k in range(many):
+        h = plain ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = (h ^ (h >> np.uint64(31))).astype(">u8")
+        votes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big"))
+    return out
+
+
+def near_copies(docs: DataFrame, many: int = SETS, radius: int = RADIUS) -> DataFrame:
+    """node, root: documents linked in any of the fingerprints of their word sets, and the smallest id they link to.
+
+    Rows without an id take no part.
+    """
+
+    def make():
+        return lambda ids, texts: [list(c) for c in zip(*([signed(f) for f in word_fingerprints(t, many)] for t in texts), strict=True)]
+
+    names = [f"f{k}" for k in range(many)]
+    rows = saved(mapped(docs.select("doc_id", "text"), make, ", ".join(f"{n} long" for n in names)).where("doc_id is not null"), "word_sets")
+    edges = None
+    for name in names:
+        nodes = saved(rows.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("least")), "nodes")
+        equal = rows.select(F.col("doc_id").alias("a"), F.col(name).alias("fp")).join(nodes, "fp").select("a", F.col("least").alias("b"))
+        least = lambda side: nodes.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
+        apart = links(nodes.select("fp"), radius).join(least("a"), "a").join(least("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+        own = saved(equal.unionByName(apart).where("a <> b"), "edges")
+        edges = own if edges is None else edges.unionByName(own)
+    return components(edges)
+
+
+def representatives(docs: DataFrame, many: int = SETS, radius: int = RADIUS) -> DataFrame:
+    """The row with the smallest id of each group of near copies, with its columns as it was; rows without an id stay."""
+    dropped = saved(near_copies(docs, many, radius).where("node <> root").select(F.col("node").alias("doc_id")).distinct(), "dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])

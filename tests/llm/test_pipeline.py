@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from codefacts.llm.common import saved
-from tests.llm.test_ball_simhash import slow_components, slow_fingerprint
+from tests.llm.test_ball_simhash import slow_near_copies
 from tests.llm.test_lsm_dedup import brute
 from tests.llm.test_toxicity_knn import corpus
 
@@ -29,9 +29,8 @@ def test_stages(spark, frame, tmp_path):
         if name == "exact_dedup":
             assert sorted((i for i, _ in pairs(after)), key=repr) == sorted((b[0] for b in brute(was) if b[3]), key=repr)
         if name == "near_dedup":
-            fps = [(i, slow_fingerprint(t)) for i, t in was]
-            of = slow_components(fps)
-            assert sorted((i for i, _ in pairs(after)), key=repr) == sorted((i for i, f in fps if i is None or of[f] == i), key=repr)
+            of = slow_near_copies(was)
+            assert sorted((i for i, _ in pairs(after)), key=repr) == sorted((i for i, _ in was if i is None or of[i] == i), key=repr)
         if name == "packing":
             assert {r.doc_id for r in after.collect()} == {i for i, _ in was}
         before = after
