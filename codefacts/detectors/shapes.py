@@ -29,7 +29,7 @@ def near_duplicate(facts, options) -> DataFrame:
     big = facts.shapes.where(F.size("ast_kinds") >= LEAST_NODES)
     items = big.select("program", "display", "span_start", "name", "line", F.sha2(F.array_join("ast_kinds", " "), 256).alias("kinds"), once(windows("tokens")).alias("windows"))
     items = saved(items.where(F.size("windows") > 0).withColumn("windows", F.array_sort("windows")), "windows")
-    groups = profiles(items, ["display", "span_start", "name"], ["program", "kinds"])
+    groups = profiles(items, ["program", "display", "span_start", "name"], ["program", "kinds"])
     near = overlaps(groups, ["program", "kinds"], LEAST_SHARE).select("a", "b")
     same = groups.where("members > 1").select(F.col("profile").alias("a"), F.col("profile").alias("b"))
     of = items.join(groups.select("program", "kinds", "windows", "profile"), ["program", "kinds", "windows"])

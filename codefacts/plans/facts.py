@@ -8,7 +8,7 @@ batches; the parsed rows are written down, and all tables are explosions of them
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -150,6 +150,18 @@ def fn(file: str, start: str):
     return F.concat_ws(":", F.col(file), F.col(start).cast("string"))
 
 
+def with_edges(own: Facts, edges: DataFrame) -> Facts:
+    """The same facts with call edges from elsewhere, such as a compiler.
+
+    edges: program, src_file, src_span, dst_file, dst_span, call_start, a row for each call site;
+    rows whose ends are no functions of the program are left out.
+    """
+    found = edges.select("program", fn("src_file", "src_span").alias("src"), fn("dst_file", "dst_span").alias("dst"), "call_start")
+    for end in ("src", "dst"):
+        found = found.join(own.functions.select("program", F.col("fn").alias(end)), ["program", end], "left_semi")
+    return replace(own, edges=found.select("program", "src", "dst", "call_start"))
+
+
 def read_sources(spark: SparkSession, program: Program) -> tuple[DataFrame, DataFrame]:
     """sources and known of one program; contents are read by Spark."""
     entries = entry_points(program)

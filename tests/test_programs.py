@@ -6,7 +6,7 @@ import pytest
 
 from codefacts.api import call_counts, many_facts
 from codefacts.detectors import detect
-from codefacts.plans.facts import Options
+from codefacts.plans.facts import Options, with_edges
 from codefacts.report import render
 
 BIG = """
@@ -191,3 +191,10 @@ def test_report(found):
         """)
     assert render([]) == ""
     assert "\x1b[" in render(mine, True) and "\x1b[" not in render(mine)
+
+
+def test_edges_from_elsewhere(own_facts, spark):
+    rows = {r.name: r for r in own_facts.functions.where("display = 'src/entry.ts'").collect()}
+    go, dead = rows["go"], rows["dead"]
+    given = spark.createDataFrame([(go.program, go.file, go.span_start, dead.file, dead.span_start, 7), (go.program, go.file, 99999, dead.file, dead.span_start, 8)], "program string, src_file string, src_span int, dst_file string, dst_span int, call_start int")
+    assert [tuple(r) for r in with_edges(own_facts, given).edges.collect()] == [(go.program, go.fn, dead.fn, 7)]
