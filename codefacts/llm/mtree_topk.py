@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from codefacts.llm.common import batched, saved
 
-PAGE, PIVOTS, BLOCK, LEAF, FAN_OUT = 4096, 1024, 4096, 128, 16
+PAGE, PIVOTS, BLOCK, LEAF, FAN_OUT = 4096, 1024, 4096, 192, 32
 EXACT = 1 << 52
 
 
@@ -69,10 +69,16 @@ class MTree:
         self.centres: list[np.ndarray] = []
         self.root, self.radius = self._load(np.arange(len(ids)), self.points.mean(axis=0))
         self.centre = self.centres[self.root]
-        del self.points
+        self.middles = np.array(self.centres)
+        del self.points, self.centres
+
+    def thaw(self) -> "MTree":
+        """A tree read from its pages; exact products of moderate vectors are taken in doubles."""
+        self.floats = self.v.astype(np.float64) if self.m2 < EXACT else None
+        return self
 
     def _load(self, rows: np.ndarray, centre: np.ndarray) -> tuple[int, float]:
-        """Bulk loading: rows go to the nearest of FAN_OUT of them, until a page holds them."""
+        """Bulk loading: rows go to the nearest of a few of them, as many as pages are needed, until a page holds them."""
         away = gaps(self.points[rows], centre)
         radius = float(away.max(initial=0.0))
         if len(rows) <= LEAF or radius == 0:
@@ -81,11 +87,12 @@ class MTree:
                 return self._add((True, rows, away, None), centre), radius
             own = [self._add((True, p, gaps(self.points[p], centre), None), centre) for p in pages]
             return self._add((False, np.array(own), np.zeros(len(own)), np.full(len(own), radius)), centre), radius
-        seeds = self.points[rows[np.linspace(0, len(rows) - 1, FAN_OUT).astype(int)]]
+        fan = min(FAN_OUT, -(-3 * len(rows) // (2 * LEAF)))
+        seeds = self.points[rows[np.linspace(0, len(rows) - 1, fan).astype(int)]]
         near = (((seeds * seeds).sum(axis=1)[None, :]) - 2 * self.points[rows] @ seeds.T).argmin(axis=1)
-        parts = [rows[near == s] for s in range(FAN_OUT) if (near == s).any()]
+        parts = [rows[near == s] for s in range(fan) if (near == s).any()]
         if len(parts) == 1:
-            parts = np.array_split(rows, FAN_OUT)
+            parts = np.array_split(rows, fan)
         own, apart, radii = [], [], []
         for part in parts:
             middle = self.points[part].mean(axis=0)
@@ -118,18 +125,26 @@ class MTree:
                 rows = entries[np.abs(away - apart) <= bound]
                 if not len(rows):
                     continue
-                scores = [int(s) for s in self.v[rows].astype(object) @ q.astype(object)] if wide else (self.v[rows] @ qf[:-1]).astype(np.int64).tolist()
-                for s, i in zip(scores, self.ids[rows].tolist()):
-                    if i != query_id and (least is None or s >= least) and (len(best) < k or (s, -i) > best[0]):
+                scores = self.v[rows].astype(object) @ q.astype(object) if wide else self.floats[rows] @ qf[:-1]
+                floor = best[0][0] if len(best) == k else least
+                if floor is not None:
+                    # Entries below the k-th product are done with at once.
+                    over = np.flatnonzero(scores >= floor)
+                    rows, scores = rows[over], scores[over]
+                for s, i in zip(scores.tolist(), self.ids[rows].tolist()):
+                    s = int(s)
+                    if i != query_id and (len(best) < k or (s, -i) > best[0]):
                         (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (s, -i))
                 if len(best) == k:
                     bound = min(bound, reach(best[0][0]))
                 continue
-            for child, near, radius in zip(entries.tolist(), apart.tolist(), radii.tolist()):
-                if abs(away - near) - radius <= bound:
-                    gap = float(np.sqrt(((qf - self.centres[child]) ** 2).sum()))
-                    if gap - radius <= bound:
-                        heapq.heappush(heap, (max(0.0, gap - radius), child, gap))
+            # Stored distances first; only what they leave is measured.
+            left = np.flatnonzero(np.abs(away - apart) - radii <= bound)
+            if len(left):
+                to = gaps(self.middles[entries[left]], qf)
+                low = np.maximum(0.0, to - radii[left])
+                for i in np.flatnonzero(low <= bound).tolist():
+                    heapq.heappush(heap, (float(low[i]), int(entries[left[i]]), float(to[i])))
         return [(s, -i) for s, i in best]
 
 
@@ -197,7 +212,7 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def search(key, left, right):
         found = []
         if len(left) and len(right):
-            tree = pickle.loads(left.column("pages")[0].as_py())
+            tree = pickle.loads(left.column("pages")[0].as_py()).thaw()
             for query, q, least in zip(right.column("query_id").to_pylist(), right.column("q").to_pylist(), right.column("least").to_pylist()):
                 found += [(query, i, max(-(1 << 63), min(s, (1 << 63) - 1))) for s, i in tree.search(query, np.array(q, dtype=np.int64), k, least)]
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])

@@ -46,7 +46,7 @@ def test_the_tree_is_exact_and_prunes():
     rows = clustered(4000, 2)
     v = np.floor(256 * np.array([x for _, x in rows])).astype(np.int64)
     m2 = int((v * v).sum(axis=1).max())
-    tree = mt.MTree(np.arange(len(v)), v, m2)
+    tree = mt.MTree(np.arange(len(v)), v, m2).thaw()
     sizes = sum(len(e) for leaf, e, _, _ in tree.nodes if leaf)
     assert sizes == len(v)
     for i in range(0, 4000, 200):
