@@ -115,22 +115,28 @@ class Prefixes:
     def append(self, data: bytes) -> None:
         start = len(self.data)
         self.data += data
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        self._extend(start)
 
-    def _last(self, end: int) -> int:
+    def _extend(self, start: int, stop: int | None = None) -> None:
+        """Find the last tokens of the prefixes that end behind start, up to stop."""
         v, data, last = self.vocabulary, self.data, self.last
-        usable, apart = v.usable, v.apart
-        for most in (3, 2, 1):
-            if most <= end:
-                for n in v.ends.get(data[end - most : end], ()):
-                    if n <= end and (token := usable.get(data[end - n : end])) is not None:
+        ends, usable, apart, stay_apart = v.ends.get, v.usable.get, v.apart.get, v.stay_apart
+        for end in range(start + 1, (len(data) if stop is None else stop) + 1):
+            for most in (3, 2, 1) if end > 2 else (2, 1) if end > 1 else (1,):
+                for n in ends(data[end - most : end], ()):
+                    if n <= end and (token := usable(data[end - n : end])) is not None:
                         if n == end:
-                            return token
-                        known = apart.get((before := last[end - n - 1], token))
-                        if known or known is None and v.stay_apart(before, token):
-                            return token
-        raise ValueError(f"a byte outside the vocabulary: {data[end - 1 : end]!r}")
+                            break
+                        before = last[end - n - 1]
+                        known = apart((before, token))
+                        if known or known is None and stay_apart(before, token):
+                            break
+                else:
+                    continue
+                last.append(token)
+                break
+            else:
+                raise ValueError(f"a byte outside the vocabulary: {data[end - 1 : end]!r}")
 
     def edit(self, start: int, stop: int, data: bytes) -> int:
         """Replace bytes start to stop; returns how many prefixes were found anew.
@@ -148,9 +154,9 @@ class Prefixes:
             if equal >= self.vocabulary.longest:
                 self.last += old[i:]
                 break
-            token = self._last(start + len(data) + i + 1)
-            anew, equal = anew + 1, equal + 1 if token == old[i] else 0
-            self.last.append(token)
+            end = start + len(data) + i
+            self._extend(end, end + 1)
+            anew, equal = anew + 1, equal + 1 if self.last[end] == old[i] else 0
         assert len(self.last) == len(self.data), shift
         return anew
 
@@ -166,12 +172,15 @@ class Coder:
     """Encodes texts piece by piece; pieces seen before are looked up."""
 
     #: Chunks and pieces kept, and the longest that are: the memory of a worker stays bounded.
-    CHUNKS, LONGEST = 400_000, 48
+    CHUNKS, LONGEST = 500_000, 48
+    #: Lengths of the beginnings whose tables are kept.
+    STEMS = (9, 7, 5)
 
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.words, self.bytes_of = Words(self), Decoded(self)
         self.pieces: dict[str, list[int]] = {}
+        self.stems: dict[bytes, list[int]] = {}
 
     def split(self, text: str) -> list[str]:
         """The pattern's matches, letters and numbers being what tiktoken's own tables say."""
@@ -186,7 +195,7 @@ class Coder:
             if (ids := self.pieces.get(piece)) is None:
                 data = piece.encode()
                 whole = self.vocabulary.usable.get(data)
-                ids = [whole] if whole is not None else Prefixes(self.vocabulary, data).ids()
+                ids = [whole] if whole is not None else self.prefixes(data).ids()
                 if len(piece) <= self.LONGEST:
                     if len(self.pieces) >= self.CHUNKS:
                         self.pieces.clear()
@@ -197,21 +206,63 @@ class Coder:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.vocabulary.tokens[i] for i in ids])
 
-    def chunk(self, text: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids in decimal, and what they decode to; '' in the second if there are none."""
-        if (known := self.cache.get(text)) is None:
-            ids = self.encode(text)
-            known = len(ids), ",".join(map(str, ids)), self.decode(ids)
-            if len(text) <= self.LONGEST:
-                if len(self.cache) >= self.CHUNKS:
-                    self.cache.clear()
-                self.cache[text] = known
-        return known
+    def prefixes(self, data: bytes) -> Prefixes:
+        """The table of a piece, appended to the table of a beginning that other pieces share."""
+        n = next((n for n in self.STEMS if n < len(data) and data[:n] in self.stems), 0)
+        p = Prefixes(self.vocabulary)
+        p.data, p.last = data[:n], self.stems[data[:n]][:] if n else []
+        p.append(data[n:])
+        for stem in self.STEMS:
+            if n < stem < len(data):
+                if len(self.stems) >= self.CHUNKS:
+                    self.stems.clear()
+                self.stems[data[:stem]] = p.last[:stem]
+        return p
+
+    def numbers(self, text: str) -> str:
+        """The ids of a text in decimal, joined by commas."""
+        return ",".join(map(str, self.encode(text)))
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the comma-joined ids, SHA-256 of the decoded bytes."""
-        found = [self.chunk(c) for c in chunks(text)]
-        return sum([x[0] for x in found]), hashlib.sha256(",".join([x[1] for x in found if x[1]]).encode()).hexdigest(), hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()
+        """Number of ids, SHA-256 of the comma-joined ids, SHA-256 of the bytes that they decode to."""
+        if ODD_SPACE.search(text) is None:
+            first, *rest = text.split(" ")
+            found = [self.numbers(first), *map(self.words.__getitem__, rest)] if first else list(map(self.words.__getitem__, rest))
+        else:
+            found = [self.numbers(c) for c in chunks(text)]
+        ids = ",".join(found)
+        decoded = b"".join(map(self.bytes_of.__getitem__, found))
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
+class Words(dict):
+    """A word without spaces to the ids of a space and the word."""
+
+    def __init__(self, coder: Coder) -> None:
+        self.coder = coder
+
+    def __missing__(self, word: str) -> str:
+        found = self.coder.numbers(" " + word)
+        if len(word) <= Coder.LONGEST:
+            if len(self) >= Coder.CHUNKS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+class Decoded(dict):
+    """Comma-joined ids to the bytes that they decode to."""
+
+    def __init__(self, coder: Coder) -> None:
+        self.coder = coder
+
+    def __missing__(self, ids: str) -> bytes:
+        found = self.coder.decode(map(int, ids.split(","))) if ids else b""
+        if len(ids) <= 6 * Coder.LONGEST:
+            if len(self) >= Coder.CHUNKS:
+                self.clear()
+            self[ids] = found
+        return found
 
 
 @functools.cache
