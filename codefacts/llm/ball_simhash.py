@@ -192,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         # Large star: every larger neighbour of u goes to the least of u and its neighbours.
         edges = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = saved(edges, "stars")
@@ -212,8 +212,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, i
     # A fingerprint's least id goes along; copies of one fingerprint are one node.
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), radius))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = saved(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "labelled")
+    # Written first: a join of its own shuffle is one that AQE splits where a component is large.
+    named = saved(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     of = saved(labelled.join(named, "root").select("fp", "component_id"), "named")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
