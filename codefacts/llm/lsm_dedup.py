@@ -55,7 +55,8 @@ class Index:
 
     def verified(self) -> DataFrame:
         """The hits, each compared with its kept row."""
-        members = self.runs.select("digest", "tag", self.id.alias("id"), self.body.alias("body")).join(self.level.where("size > 1"), "digest")
+        # The same plan at every size: few groups with copies are not broadcast.
+        members = self.runs.select("digest", "tag", self.id.alias("id"), self.body.alias("body")).join(self.level.where("size > 1").hint("merge"), "digest")
         members = saved(members, "members")
         keepers = members.where("tag = keep_tag").select(F.col("keep_tag").alias("of"), F.col("body").alias("kept_body"))
         hits = members.where("tag <> keep_tag").join(keepers, F.col("keep_tag") == F.col("of"))
