@@ -1,0 +1,145 @@
+"""Near copies by the Jaccard similarity of their five-word shingles, verified on the texts.
+
+Candidates share one of BANDS keys, each made of BAND_ROWS minima of the shingles under hash functions: a pair
+of similarity s shares none with a probability of (1 - s ** BAND_ROWS) ** BANDS, 2.7e-5 at 0.8, wherever its edits
+lie. Every candidate is then verified: the shingles of both texts are compared, and components are built from
+verified links only.
+
+Texts of equal shingles are one node. A bucket (the nodes of one key) first sends each node against its
+least; nodes of different components that remain are then compared pair by pair. Nodes that are linked already are
+not compared again, so that a bucket of copies costs its size and not its square.
+
+Defined cases: words are split at white space, in lower case for ASCII; texts with fewer words than a
+shingle are one shingle; null and empty texts are copies of each other; rows without an id take no part.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codefacts.llm.ball_simhash import SEED, components
+from codefacts.llm.common import mapped, saved
+
+WORDS = 5
+#: Similarity from which a pair is linked: LEAST / OF.
+LEAST, OF = 4, 5
+BANDS, BAND_ROWS = 20, 4
+
+
+def constants(n: int, name: str) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f"{name} {i}", SEED) | 1 for i in range(n)], np.uint64)
+
+
+TURN, TIMES, PLACES, IN_BAND = constants(BANDS * BAND_ROWS, "turn"), constants(BANDS * BAND_ROWS, "times"), constants(WORDS, "place"), constants(BAND_ROWS, "row")
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(text: str) -> np.ndarray:
+    """The distinct hashes of the text's five-word shingles, sorted."""
+    hashed = xxhash.xxh64_intdigest
+    words = np.array([hashed(t, SEED) for t in text.encode().lower().split()], np.uint64)
+    if len(words) < WORDS:
+        return mixed(np.array([(words * PLACES[: len(words)]).sum(dtype=np.uint64) + np.uint64(len(words))]))
+    n = len(words) - WORDS + 1
+    total = np.zeros(n, np.uint64)
+    for k in range(WORDS):
+        total += words[k : k + n] * PLACES[k]
+    return np.unique(mixed(total))
+
+
+def keys(own: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set of shingles."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 1024):
+        least = np.minimum(least, ((own[at : at + 1024, None] ^ TURN) * TIMES).min(axis=0))
+    return mixed((least.reshape(BANDS, BAND_ROWS) * IN_BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def name_of(own: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return OF * both >= LEAST * (len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: ids of the pairs that are similar. pairs: id_a, id_b, a and b, the names of the nodes; b is the one that pairs share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            id_a, id_b = [], []
+            for ia, ib, a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("id_a", "id_b", "a", "b", "text_a", "text_b")), strict=True):
+                if last is None or last[0] != tb:
+                    last = tb, shingles(tb)
+                own = shingles(ta)
+                # An id may have several texts: only those that make the nodes count.
+                if similar(own, last[1]) and name_of(own) == a and name_of(last[1]) == b:
+                    id_a.append(ia)
+                    id_b.append(ib)
+            kind = batch.column("id_a").type
+            yield pa.RecordBatch.from_arrays([pa.array(id_a, kind), pa.array(id_b, kind)], names=["a", "b"])
+
+    side = lambda c: texts.select(F.col("doc_id").alias(f"id_{c}"), F.col("text").alias(f"text_{c}")).hint("merge")
+    kind = pairs.schema["id_a"].dataType.simpleString()
+    joined = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", "a", "b", "text_a", "text_b")
+    return saved(joined.mapInArrow(run, f"a {kind}, b {kind}"), "verified")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """node, root: documents linked by verified pairs, directly or through others, and the smallest id they link to."""
+
+    def make():
+        def work(ids, texts):
+            own = [shingles(t) for t in texts]
+            return [[name_of(s) for s in own], [len(s) for s in own], [keys(s).view(np.int64).tolist() for s in own]]
+
+        return work
+
+    rows = saved(mapped(docs.select("doc_id", "text").where("doc_id is not null"), make, "own long, size int, keys array<long>"), "profiles")
+    nodes = saved(rows.groupBy("own").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "nodes")
+    equal = saved(rows.select("own", "doc_id").join(nodes.where("n > 1").select("own", "id"), "own").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "equal")
+    each = nodes.select("own", "id", "size", F.explode("keys").alias("key"))
+    buckets = saved(each.groupBy("key").agg(F.min(F.struct("size", "own", "id")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"), "buckets")
+    met = saved(each.join(buckets.hint("merge"), "key"), "met")
+    # Texts that no candidate needs are left behind; a repeated row goes once.
+    wanted = saved(met.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    needed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi")
+    texts = saved(needed.groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.first("text").alias("text")).select("doc_id", "text"), "texts")
+
+    reach = lambda small, large: F.col(small) * OF >= F.col(large) * LEAST
+    stars = met.where(F.col("own") != F.col("least.own")).where(reach("least.size", "size"))
+    stars = saved(stars.select(F.col("id").alias("id_a"), F.col("least.id").alias("id_b"), F.col("own").alias("a"), F.col("least.own").alias("b")).distinct(), "pairs")
+    first = saved(components(equal.unionByName(verified(stars, texts))), "linked")
+
+    # What is left: nodes of one bucket that are in different components, other than against its least.
+    root = first.select(F.col("node").alias("id"), "root")
+    rooted = saved(met.where(F.col("own") != F.col("least.own")).join(root.hint("merge"), "id", "left").select("key", "own", "id", "size", F.coalesce("root", "id").alias("root")), "rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = saved(rooted.join(several.hint("merge"), "key", "left_semi"), "left")
+    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "id", "size", "root")]) for s in "ab")
+    close = (F.col("root_a") != F.col("root_b")) & (F.col("own_a") < F.col("own_b")) & reach("size_a", "size_b") & reach("size_b", "size_a")
+    pairs = saved(a.hint("merge").join(b, (a["key"] == b["key"]) & close).select("id_a", "id_b", F.col("own_a").alias("a"), F.col("own_b").alias("b")).distinct(), "pairs")
+    more = verified(pairs, texts)
+    if more.isEmpty():
+        return first
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The row with the smallest id of each group of near copies, with its columns as it was; rows without an id stay."""
+    dropped = saved(near_copies(docs).where("node <> root").select(F.col("node").alias("doc_id")).distinct(), "dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])

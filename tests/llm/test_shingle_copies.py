@@ -1,0 +1,56 @@
+"""The pipeline's near-copy stage against five-word Jaccard similarities computed pair by pair from the words."""
+
+import random
+import re
+
+import corpus_pipeline
+from codefacts.llm import shingle_copies as sc
+
+
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def slow_roots(rows):
+    """Document -> smallest id reached over pairs of at least 0.8."""
+    own = [(i, five_words(t)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in own}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(own):
+        for j, b in own[k + 1 :]:
+            if jaccard(a, b) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in parent}
+
+
+def kept(frame, rows):
+    return sorted((r.doc_id for r in corpus_pipeline.near_dedup(None, frame(rows), "").collect()), key=repr)
+
+
+def block_copies(seed, n):
+    """Texts, and of each a copy with a paragraph appended, one with its end cut off and one with its beginning cut off."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(20_000)]
+    rows = []
+    for i in range(n):
+        text = rng.choices(words, k=rng.randint(100, 600))
+        part = len(text) // 8
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(text + rng.choices(words, k=part))), (2000 + i, " ".join(text[:-part])), (3000 + i, " ".join(text[part:]))]
+    return rows
+
+
+def test_block_edits_go(frame):
+    rows = block_copies(5, 60)
+    sets = {i: five_words(t) for i, t in rows}
+    assert all(jaccard(sets[i % 1000], s) >= 0.8 for i, s in sets.items())
+    assert kept(frame, rows) == sorted(range(60), key=repr)
