@@ -270,6 +270,6 @@ def near_copies(docs: DataFrame, many: int = SETS, radius: int = RADIUS) -> Data
 
 
 def representatives(docs: DataFrame, many: int = SETS, radius: int = RADIUS) -> DataFrame:
-    """The row with the smallest id of each group of near copies, with its columns as it was; rows without an id stay."""
+    """The row with the smallest id of each group linked by fingerprints alone, not verified: no query uses it. Rows without an id stay."""
     dropped = saved(near_copies(docs, many, radius).where("node <> root").select(F.col("node").alias("doc_id")).distinct(), "dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])

@@ -54,3 +54,13 @@ def test_block_edits_go(frame):
     sets = {i: five_words(t) for i, t in rows}
     assert all(jaccard(sets[i % 1000], s) >= 0.8 for i, s in sets.items())
     assert kept(frame, rows) == sorted(range(60), key=repr)
+
+
+def test_texts_of_one_vocabulary_stay(frame):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(500)]
+    rows = [(i, " ".join(rng.choices(words, k=4000))) for i in range(30)]
+    permuted = rows[0][1].split()
+    rng.shuffle(permuted)
+    rows += [(100, " ".join(permuted)), (101, " ".join(sorted(permuted)))]
+    assert kept(frame, rows) == sorted((i for i, _ in rows), key=repr)
