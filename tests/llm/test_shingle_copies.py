@@ -64,3 +64,24 @@ def test_texts_of_one_vocabulary_stay(frame):
     rng.shuffle(permuted)
     rows += [(100, " ".join(permuted)), (101, " ".join(sorted(permuted)))]
     assert kept(frame, rows) == sorted((i for i, _ in rows), key=repr)
+
+
+def test_against_jaccard_of_all_pairs(frame, odd_rows):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    rows = odd_rows + [(1000 + i, t) for i, t in block_copies(7, 15)]
+    # Chains, one large group of near copies, texts about a common passage, and similarities on both sides of 0.8.
+    passage, chain = rng.choices(words, k=30), rng.choices(words, k=200)
+    for i in range(40):
+        chain = chain[8:] + rng.choices(words, k=8)
+        rows.append((10_000 + i, " ".join(chain)))
+    for i in range(80):
+        copy = list(chain)
+        copy[rng.randrange(200)] = "new"
+        rows.append((11_000 + i, " ".join(copy)))
+        rows.append((12_000 + i, " ".join(passage + rng.choices(words, k=rng.randint(1, 12)))))
+        some = rows[rng.randrange(60)][1].split() + rng.choices(words, k=20)
+        rows.append((13_000 + i, " ".join(some[: rng.randint(5, len(some))])))
+    of = slow_roots(rows)
+    assert kept(frame, rows) == sorted((i for i, _ in rows if i is None or of[i] == i), key=repr)
+    assert kept(frame, []) == []
