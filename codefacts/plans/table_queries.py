@@ -88,7 +88,7 @@ def q_forward_join(spark, sf_dir):
     """Orders with one successor, joined to it, except those inside a chain."""
     edges = saved(order_edges(spark, sf_dir), "order_edges")
     forwards = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("src")
-    inside = graph.forest_paths(edges, eligible(edges), ["cust"]).select(F.explode(F.slice("path", 2, 1000)).alias("src"))
+    inside = graph.forest_paths(edges, eligible(edges), ["cust"]).select(F.explode(F.slice("path", F.lit(2), F.size("path"))).alias("src"))
     pairs = relational.first_match(forwards, edges, ["src"], F.col("dst"), ["dst"])
     return pairs.join(inside, "src", "left_anti").select("src", "dst")
 
