@@ -38,3 +38,21 @@ def test_kept_rows_keep_their_columns(frame, odd_rows):
 
 def test_empty_table(frame):
     assert lsm_dedup.op8(frame([])).collect() == []
+
+
+def test_filter_passes_repeated_digests_and_few_others(frame):
+    rows = [(i, f"text {i}") for i in range(4000)] + [(10_000 + i, f"text {i}") for i in range(300)]
+    index = lsm_dedup.Index(frame(rows).select("doc_id", "text"))
+    # Every row of a group passes; of the others hardly any.
+    passed = {r.tag for r in index.members.select("tag").collect()}
+    assert index.members.where("size > 1").count() == 600
+    assert 600 <= len(passed) <= 640
+    assert index.single.count() == len(rows) - len(passed)
+    assert index.filter.count() <= 300
+    assert sorted(map(tuple, index.classes().select("doc_id", "keep_id", "group_size", "kept").collect())) == sorted(r[:4] for r in brute(rows))
+
+
+def test_a_filter_that_is_full_changes_no_result(frame, odd_rows, monkeypatch):
+    monkeypatch.setattr(lsm_dedup, "FILTER", 1)
+    assert sorted(map(tuple, lsm_dedup.op8(frame(odd_rows)).collect()), key=repr) == brute(odd_rows)
+    assert lsm_dedup.Index(frame(odd_rows)).kept_rows().count() == sum(r[3] for r in brute(odd_rows))
