@@ -33,11 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import mapped, saved
+from codefacts.llm.common import arrow_batches, mapped, saved
 
 SEED, WORDS, RADIUS = 42, 4, 4
-#: Fingerprints of a text's word set by which near copies are found.
-SETS = 4
 #: Fingerprints that a bucket should hold of its own, and the most leading bits.
 BUCKET, MOST_BITS = 64, 20
 #: A bucket is split when it receives so many times the mean.
@@ -76,7 +74,7 @@ def flips(bits: list[int], most: int) -> list[np.ndarray]:
 
 
 def emitted(fps: np.ndarray, bits: int, split: dict[int, int], radius: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(bucket, part, fingerprints): where variants of these fingerprints lie. split: further bits of hot buckets."""
+    """(bucket, part, places): where variants of these fingerprints lie. split: further bits of hot buckets."""
     home = (fps >> np.uint64(64 - bits)).astype(np.int64)
     for near, masks in enumerate(flips(list(range(bits)), radius)):
         for mask in masks.tolist():
@@ -86,14 +84,14 @@ def emitted(fps: np.ndarray, bits: int, split: dict[int, int], radius: int) -> I
             for chunk in np.split(order, cuts):
                 b = int(bucket[chunk[0]])
                 if not (more := split.get(b, 0)):
-                    yield b, 0, fps[chunk]
+                    yield b, 0, chunk
                     continue
                 own = (fps[chunk] >> np.uint64(64 - bits - more)).astype(np.int64) & ((1 << more) - 1)
                 for extra in flips(list(range(more)), radius - near):
                     for x in extra.tolist():
                         part = own ^ x
                         for p in np.unique(part):
-                            yield b, int(p), fps[chunk][part == p]
+                            yield b, int(p), chunk[part == p]
 
 
 def met(fps: np.ndarray, bits: int, prefix: int, radius: int, twice: int) -> np.ndarray:
@@ -155,7 +153,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links a, b (signed fingerprints) whose components are those of all pairs within the radius. distinct: column fp."""
     half, n = radius // 2, distinct.count()
     bits = min(MOST_BITS, max(4, round(math.log2(max(1, n) / BUCKET))))
-    spark = distinct.sparkSession
     home = F.shiftrightunsigned("fp", 64 - bits).alias("bucket")
     limit = hot_limit(n, bits)
     # At most n / limit <= 2 ** bits / HOT buckets can be hot.
@@ -166,8 +163,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for at in range(0, len(fps), 1 << 15):
                 rows: dict[tuple[int, int], list[bytes]] = {}
-                for b, p, own in emitted(fps[at : at + (1 << 15)], bits, hot, half):
-                    rows.setdefault((b, p), []).append(own.tobytes())
+                some = fps[at : at + (1 << 15)]
+                for b, p, own in emitted(some, bits, hot, half):
+                    rows.setdefault((b, p), []).append(some[own].tobytes())
                 keys = list(rows)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([b"".join(rows[k]) for k in keys], pa.binary())], names=["bucket", "part", "fps"])
 
@@ -177,13 +175,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         found = met(np.frombuffer(b"".join(group.column("fps").to_pylist()), np.uint64), bits + more, bucket << more | part, half, radius).view(np.int64)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    rows_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32768")
-    try:
+    with arrow_batches(distinct.sparkSession, 32768):
         sent = distinct.repartition(max(4, min(n >> 13, 4096))).mapInArrow(emit, "bucket int, part int, fps binary")
         return saved(sent.groupBy("bucket", "part").applyInArrow(meet, "a long, b long").distinct(), "links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_before)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,55 +215,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, i
 
 def op9(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def word_fingerprints(text: str, many: int = SETS) -> list[int]:
-    """Majority bits of hashes of a text's distinct words, for so many hash functions.
-
-    An edit of one word moves one feature, not as many as a shingle has words: near copies stay within
-    a few bits. Texts of fewer than five distinct words are one feature, so that order tells them apart.
-    """
-    tokens = text.encode().lower().split()
-    if not tokens:
-        return [0] * many
-    features = set(tokens)
-    if len(features) < 5:
-        features = {b" ".join(tokens)}
-    plain = np.array([xxhash.xxh64_intdigest(f, SEED) for f in features], dtype=np.uint64)
-    out = []
-    for k in range(many):
-        h = plain ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h = (h ^ (h >> np.uint64(31))).astype(">u8")
-        votes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big"))
-    return out
-
-
-def near_copies(docs: DataFrame, many: int = SETS, radius: int = RADIUS) -> DataFrame:
-    """node, root: documents linked in any of the fingerprints of their word sets, and the smallest id they link to.
-
-    Rows without an id take no part.
-    """
-
-    def make():
-        return lambda ids, texts: [list(c) for c in zip(*([signed(f) for f in word_fingerprints(t, many)] for t in texts), strict=True)]
-
-    names = [f"f{k}" for k in range(many)]
-    rows = saved(mapped(docs.select("doc_id", "text"), make, ", ".join(f"{n} long" for n in names)).where("doc_id is not null"), "word_sets")
-    edges = None
-    for name in names:
-        nodes = saved(rows.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("least")), "nodes")
-        equal = rows.select(F.col("doc_id").alias("a"), F.col(name).alias("fp")).join(nodes, "fp").select("a", F.col("least").alias("b"))
-        least = lambda side: nodes.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
-        apart = links(nodes.select("fp"), radius).join(least("a"), "a").join(least("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-        own = saved(equal.unionByName(apart).where("a <> b"), "edges")
-        edges = own if edges is None else edges.unionByName(own)
-    return components(edges)
-
-
-def representatives(docs: DataFrame, many: int = SETS, radius: int = RADIUS) -> DataFrame:
-    """The row with the smallest id of each group linked by fingerprints alone, not verified: no query uses it. Rows without an id stay."""
-    dropped = saved(near_copies(docs, many, radius).where("node <> root").select(F.col("node").alias("doc_id")).distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,45 @@ def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of a Bloom filter: a broadcast table of 2 MB.
+FILTER = 1 << 17
+
+
+def bloom(keys: DataFrame, key: str) -> DataFrame:
+    """word, bits: a blocked Bloom filter of a key, FILTER rows at most whatever the input."""
+    return saved(keys.groupBy(word(F.col(key)).alias("word")).agg(F.bit_or(mask(F.col(key))).alias("bits")), "filter")
+
+
+def maybe_in(rows: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
+    """The rows with a column ``maybe``: false where the key is certainly not in the filter. No row is shuffled."""
+    probed = rows.join(F.broadcast(filter_), word(F.col(key)) == F.col("word"), "left")
+    own = mask(F.col(key))
+    return probed.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(own) == own, F.lit(False))).drop("word", "bits")
+
+
+def word(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER)).cast("int")
+
+
+def mask(key: Column) -> Column:
+    """A key's three bits in its word."""
+    h = F.xxhash64(key, F.lit("bits"))
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, n).bitwiseAND(63).cast("int"))
+    return bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another bound of Arrow batches for jobs that run inside; the session's own comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def batched(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches of this session's Python stages."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -25,10 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import saved, text_of
-
-#: Words of the filter: a broadcast table of 2 MB.
-FILTER = 1 << 17
+from codefacts.llm.common import bloom, maybe_in, saved, text_of
 
 #: Characters that do not count when texts are compared.
 WHITE = " \t\n\x0b\x0c\r"
@@ -42,23 +39,6 @@ def sha256(body: Column) -> Column:
     return F.unhex(F.sha2(F.encode(body, "UTF-8"), 256))
 
 
-def word(digest: Column) -> Column:
-    """The filter's word in which a digest has its bits."""
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER)).cast("int")
-
-
-def mask(digest: Column) -> Column:
-    """A digest's three bits."""
-    h = F.xxhash64(digest, F.lit("bits"))
-    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, n).bitwiseAND(63).cast("int"))
-    return bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
-
-
-def bloom(digests: DataFrame) -> DataFrame:
-    """word, bits: a blocked Bloom filter of the digests, FILTER rows at most."""
-    return digests.groupBy(word(F.col("digest")).alias("word")).agg(F.bit_or(mask(F.col("digest"))).alias("bits"))
-
-
 class Index:
     """Runs, their compaction, the filter of repeated digests and the verified hits of one table."""
 
@@ -69,8 +49,8 @@ class Index:
         flushed = log.select("row", F.monotonically_increasing_id().alias("tag"), digest(self.body).alias("digest"), F.length(text_of(f"row.{text_col}")).alias("points"))
         self.runs = saved(flushed.sortWithinPartitions("digest"), "runs")
         self.level = saved(self.compacted(self.runs, "digest"), "level")
-        self.filter = saved(bloom(self.level.where("size > 1")), "filter")
-        probed = self.runs.join(F.broadcast(self.filter), word(F.col("digest")) == F.col("word"), "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask(F.col("digest"))) == mask(F.col("digest")), F.lit(False)))
+        self.filter = bloom(self.level.where("size > 1"), "digest")
+        probed = maybe_in(self.runs, "digest", self.filter)
         #: Rows whose digest no other row has, by the filter: they pass where they lie.
         self.single = probed.where("not maybe").select("row", "tag", "digest")
         #: All others with their class; those that the filter let through by chance are alone in it.

@@ -35,23 +35,6 @@ def slow_components(fps):
     return {f: least.get(find(f)) for f in values}
 
 
-def slow_near_copies(rows):
-    """Document -> smallest id linked in any word-set fingerprint."""
-    own = [(i, bs.word_fingerprints(t or "")) for i, t in rows if i is not None]
-    parent = {i: i for i, _ in own}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for k, (i, a) in enumerate(own):
-        for j, b in own[k + 1 :]:
-            if any((x ^ y).bit_count() <= 4 for x, y in zip(a, b)):
-                parent[max(find(i), find(j))] = min(find(i), find(j))
-    return {i: find(i) for i in parent}
-
-
 def near_copies(seed, n):
     rng = random.Random(seed)
     base = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randint(3, 300))) for _ in range(n)]
@@ -115,14 +98,5 @@ def test_forest_is_small():
     assert len(bs.forest(fps, a, b)) == 99
 
 
-def test_representatives_and_empty(frame):
-    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "something else entirely here now"), (None, "a b c d e f g")]
-    docs = frame(rows)
-    kept = bs.representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 3, None]
-    many = near_copies(9, 40)
-    of = slow_near_copies(many)
-    assert sorted(r.doc_id for r in bs.representatives(frame(many)).collect()) == sorted(i for i, _ in many if of[i] == i)
-    assert bs.representatives(frame([])).collect() == []
+def test_empty(frame):
     assert bs.op9(frame([])).collect() == []

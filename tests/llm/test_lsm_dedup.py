@@ -4,7 +4,7 @@ from hashlib import sha256
 
 from pyspark.sql import functions as F
 
-from codefacts.llm import lsm_dedup
+from codefacts.llm import common, lsm_dedup
 
 
 def brute(rows):
@@ -53,6 +53,6 @@ def test_filter_passes_repeated_digests_and_few_others(frame):
 
 
 def test_a_filter_that_is_full_changes_no_result(frame, odd_rows, monkeypatch):
-    monkeypatch.setattr(lsm_dedup, "FILTER", 1)
+    monkeypatch.setattr(common, "FILTER", 1)
     assert sorted(map(tuple, lsm_dedup.op8(frame(odd_rows)).collect()), key=repr) == brute(odd_rows)
     assert lsm_dedup.Index(frame(odd_rows)).kept_rows().count() == sum(r[3] for r in brute(odd_rows))
