@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codefacts.llm import lsm_dedup, ordinal_quality, residual_packing, shingle_copies, toxicity_knn
+from codefacts.llm import lsm_dedup, ordinal_quality, residual_packing, simhash_copies, toxicity_knn
 from codefacts.llm.common import saved, table
 
 #: Not expressible in SQL: fitted models, fingerprints, components, packing.
@@ -33,7 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with a five-word similarity of 0.8 and more, directly or through others, the one with the smallest id stays."""
-    return shingle_copies.representatives(docs)
+    return simhash_copies.representatives(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
