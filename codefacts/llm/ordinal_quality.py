@@ -12,7 +12,8 @@ and scoring needs no shuffle.
 Defined cases: null and empty texts have the marks of an empty text only; several ratings of one id
 count as the smallest; ratings without an id or a value are left out; grades that no rating has are left
 out; with fewer than two grades every text gets the one grade, and without ratings every text is kept;
-repeated rows get equal rows.
+repeated rows get equal rows; texts of any length are scored whole; an empty table gives an empty result; other columns
+take no part, and ``selected`` carries them as they are.
 """
 
 import math
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from codefacts.llm.common import batched, mapped, saved, text_of
 
-#: Rated rows that are fitted at most, hashed weights, rounds of the fit, the least tail probability of a kept text.
-EXAMPLES, WEIGHTS, ROUNDS, KEEP = 3000, 1 << 16, 150, 0.5
+#: Rated rows that are fitted at most, hashed weights, the least tail probability of a kept text.
+EXAMPLES, WEIGHTS, KEEP = 3000, 1 << 16, 0.5
+#: Penalty of squared weights; the fit ends when the penalised likelihood has gained less than this in PATIENCE rounds, after ROUNDS at most.
+PENALTY, GAIN, PATIENCE, ROUNDS = 1e-4, 1e-6, 20, 400
 SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"\d+"), "0"))
 
 
@@ -42,7 +45,7 @@ def token_features(token: str) -> tuple[int, ...]:
     shape = token
     for pattern, sign in SHAPES:
         shape = pattern.sub(sign, shape)
-    return hashed("w" + token.lower()), hashed("s" + shape[:24]), hashed("e" + token[-3:])
+    return hashed("w" + token.lower()), hashed("s" + shape), hashed("e" + token[-3:])
 
 
 def marks(tokens: list[str]) -> tuple[int, ...]:
@@ -53,7 +56,7 @@ def marks(tokens: list[str]) -> tuple[int, ...]:
 
 
 #: What a mark weighs against a token's share.
-MARK = 0.25
+MARK = 0.5
 
 
 def features(text: str) -> dict[int, float]:
@@ -86,7 +89,7 @@ class Model:
 
 
 def fit_model(rows: list[dict[int, float]], grades: list[int]) -> Model:
-    """Maximum likelihood with a small penalty, by full-batch adaptive steps."""
+    """Maximum likelihood with a small penalty, by full-batch adaptive steps until it gains no more."""
     present = sorted(set(grades))
     if len(present) < 2:
         return Model(np.zeros(WEIGHTS), np.zeros(0), present or [1])
@@ -101,6 +104,7 @@ def fit_model(rows: list[dict[int, float]], grades: list[int]) -> Model:
     gaps = np.log(np.maximum(np.diff(start), 1e-3))
     p = np.concatenate([np.zeros(WEIGHTS), start[:1], gaps])
     mean, square = np.zeros_like(p), np.zeros_like(p)
+    least, best, since = np.inf, p, 0
     for step in range(1, ROUNDS + 1):
         t = np.concatenate([p[WEIGHTS : WEIGHTS + 1], p[WEIGHTS : WEIGHTS + 1] + np.cumsum(np.exp(p[WEIGHTS + 1 :]))])
         s = np.bincount(row, val * p[idx], len(rows))
@@ -108,15 +112,22 @@ def fit_model(rows: list[dict[int, float]], grades: list[int]) -> Model:
         r = np.arange(len(rows))
         hi, lo = cum[r, at], cum[r, at + 1]
         like = np.maximum(hi - lo, 1e-9)
+        loss = -np.log(like).mean() + PENALTY / 2 * float(p[:WEIGHTS] @ p[:WEIGHTS])
+        since = 0 if loss < least - GAIN else since + 1
+        if loss < least:
+            least, best = loss, p
+        if since >= PATIENCE:
+            break
         dhi, dlo = hi * (1 - hi) / like, lo * (1 - lo) / like
         ds = -(dhi - dlo) / len(rows)
         dt = np.zeros((len(rows), cuts + 2))
         dt[r, at] += dhi / len(rows)
         dt[r, at + 1] -= dlo / len(rows)
         dt = dt.sum(axis=0)[1:-1]
-        grad = np.concatenate([np.bincount(idx, val * ds[row], WEIGHTS) + 1e-6 * p[:WEIGHTS], [dt.sum()], np.exp(p[WEIGHTS + 1 :]) * np.cumsum(dt[::-1])[::-1][1:]])
+        grad = np.concatenate([np.bincount(idx, val * ds[row], WEIGHTS) + PENALTY * p[:WEIGHTS], [dt.sum()], np.exp(p[WEIGHTS + 1 :]) * np.cumsum(dt[::-1])[::-1][1:]])
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
-        p = p - 0.3 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        p = p - 0.3 * 0.99**step * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    p = best
     t = np.concatenate([p[WEIGHTS : WEIGHTS + 1], p[WEIGHTS : WEIGHTS + 1] + np.cumsum(np.exp(p[WEIGHTS + 1 :]))])
     return Model(p[:WEIGHTS], t, present)
 
