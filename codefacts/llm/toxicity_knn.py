@@ -1,39 +1,47 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their prefixes of four and five letters (inflections of a stem share them). Of
-the terms of the labelled examples those whose presence depends on the label are kept (their
-likelihood-ratio statistic G2 is above what chance gives one of so many terms); an example or a text is its TF-IDF vector over the kept terms. The index holds
-each term's postings over the examples in blocks, with the largest weight in each block. A search
-bounds every block by the sum of its terms' largest weights, opens blocks from the highest bound on, and
+Terms are words and their prefixes of four and five letters (inflections of a stem share them). All
+terms of the labelled examples are indexed: an example or a text is its TF-IDF vector over them. Terms whose presence
+depends on the label (likelihood-ratio statistic G2 above what chance gives one of so many terms) weigh 1 / PLAIN
+times as much as the others, which decide between examples that have the same of these or none. The index
+holds each term's postings over the examples in blocks, with the largest value in each block. A search
+bounds every block by the sum of its terms' largest values, opens blocks from the highest bound on, and
 stops when no bound reaches the K-th cosine found: the K nearest are exact.
 
 The neighbours vote with the square of their cosine; a logistic curve fitted on the examples' own
 leave-one-out votes turns vote and largest cosine into a probability. The neighbours are the evidence.
 
 Only the fit works on a bounded sample: EXAMPLES labelled rows, those with the smallest hash of their
-id, and TERMS terms. Every text is scored whole. The index is small by these bounds and goes out in
-the closure; scoring needs no shuffle.
-
-Defined cases: null and empty texts have no terms and get the share of toxic examples among those
-without terms; several labels of one id count as the largest; labels without an id or a value are
-left out; without any label, or with one class only, every score is that class's share (0 without labels);
-repeated rows get equal rows.
+id, with all their terms. Every text is scored whole. The index goes out in the closure; scoring needs no shuffle.
+
+Defined cases: null and empty texts, and those without a term that some example has, have no neighbours and get the share of
+toxic examples among such; terms that no example has do not count for a text's length; several labels of one id count
+as the largest, several texts of one id as the smallest (to learn from; each row is scored by its own); labels
+without an id or a value are left out; without any label, or with one class only, every score is that class's share (0 without
+labels); repeated rows get equal rows; an empty table gives an empty result; other columns take no part, and ``civil``
+carries them as they are.
 """
 
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.common import batched, mapped, saved, text_of
 
-#: Labelled rows and terms that are fitted at most; neighbours; examples in a block.
-EXAMPLES, TERMS, K, BLOCK = 4000, 5000, 15, 64
+#: Labelled rows that are fitted at most; neighbours; examples in a block.
+EXAMPLES, K, BLOCK = 4000, 15, 128
+#: What a term that does not depend on the label weighs against one that does.
+PLAIN = 0.03
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
 
@@ -55,70 +63,106 @@ def counted(text: str) -> Counter:
     return out
 
 
+def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, and of each the number of its range."""
+    lengths = end - start
+    of = np.repeat(np.arange(len(start)), lengths)
+    return np.arange(len(of)) + np.repeat(start - np.cumsum(lengths) + lengths, lengths), of
+
+
 class Index:
-    """Labelled vectors by term, in blocks with their largest weights."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[dict[int, float]], labels: np.ndarray, ids: list) -> None:
-        self.place, self.idf = {t: i for i, t in enumerate(terms)}, idf
-        # Vectors with the same rarest term lie together, so that few blocks hold a term's large weights.
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (idf[t], t), default=-1), i))
-        self.labels, self.ids = labels[order], [ids[i] for i in order]
-        self.vectors = [self.unit(vectors[i]) for i in order]
-        self.blocks = -(-len(order) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(self.vectors):
-            for t, w in v.items():
-                postings.setdefault(t, []).append((i, w))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.largest: dict[int, np.ndarray] = {}
-        for t, rows in postings.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, at // BLOCK, w)
-            self.postings[t] = at, w, np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
-            self.largest[t] = top
-        self.opened = 0
-        self.calibrate()
-
-    def unit(self, tf: dict[int, float]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def nearest(self, v: dict[int, float], k: int, but: int = -1) -> list[tuple[float, int]]:
+    """Postings of labelled examples by term, in blocks with their largest values.
+
+    terms, weights: of each term. term, example, count: one of each posting. A text's vector has
+    (1 + log count) * weight for each of its terms that some example has.
+    """
+
+    def __init__(self, terms: list[str], weights: np.ndarray, term: np.ndarray, example: np.ndarray, count: np.ndarray, labels: np.ndarray, ids: list) -> None:
+        self.terms, self.weights, n = terms, weights, len(ids)
+        value = (1 + np.log(count)) * weights[term]
+        norm = np.sqrt(np.bincount(example, value * value, n))
+        # Examples with the same heaviest term lie together, so that few blocks hold a term's large values.
+        heaviest = np.full(n, -1)
+        by_value = np.argsort(value, kind="stable")
+        heaviest[example[by_value]] = term[by_value]
+        order = np.argsort(heaviest, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.labels, self.ids, self.norm = labels[order], [ids[i] for i in order], norm[order]
+        self.blocks = -(-n // BLOCK)
+        at = place[example]
+        by_term = np.lexsort((at, term))
+        term, at, count = term[by_term], at[by_term], count[by_term]
+        self.at, self.count = at.astype(np.uint32), count.astype(np.uint32)
+        # Blocks of postings: their first posting, block and largest value.
+        block = at // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.first = np.append(first, len(term)).astype(np.uint32)
+        self.block = block[first].astype(np.uint16)
+        largest = np.maximum.reduceat((1 + np.log(count)) / self.norm[at], first) if len(first) else np.zeros(0)
+        self.largest = np.nextafter(largest.astype(np.float32), np.float32(np.inf))
+        self.of_term = np.searchsorted(term[first], np.arange(len(terms) + 1)).astype(np.uint32)
+        self.opened, self.curve, self.empty = 0, np.array([-2.0, 4.0, 0.0]), 0.0
+
+    @cached_property
+    def value(self) -> np.ndarray:
+        """A posting's share in its example's vector but for the term's weight; made where it is needed."""
+        return (1 + np.log(self.count)) / self.norm[self.at]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "value"}
+
+    def unit(self, tf: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and values of a text's vector, of length 1."""
+        t = np.fromiter(tf, np.int64, len(tf))
+        v = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf)))) * self.weights[t]
+        return t, v / max(1e-300, math.sqrt(float(v @ v)))
+
+    def nearest(self, q: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest of cosine above 0, by cosine, then place. but: an example left out."""
-        bound = sum((w * self.largest[t] for t, w in v.items() if t in self.largest), np.zeros(self.blocks))
+        t, v = q
+        v = v * self.weights[t]
+        entry, of = spread(self.of_term[t].astype(np.int64), self.of_term[t + 1].astype(np.int64))
+        blocks = self.block[entry].astype(np.int64)
+        bound = np.bincount(blocks, v[of] * self.largest[entry], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-9:
-                break
-            self.opened += 1
-            sums = np.zeros(BLOCK)
-            for t, w in v.items():
-                if t in self.postings:
-                    at, weights, cuts = self.postings[t]
-                    own = slice(cuts[b], cuts[b + 1])
-                    sums[at[own] - b * BLOCK] += w * weights[own]
-            best += [(-round(float(sums[i]), 12), b * BLOCK + int(i)) for i in np.flatnonzero(sums) if b * BLOCK + i != but]
-            best = sorted(best)[:k]
+        done, many = 0, 2
+        while done < len(order):
+            some = order[done : done + many]
+            if len(best) >= k:
+                some = some[bound[some] >= -best[k - 1][0] - 1e-9]
+                if not len(some):
+                    break
+            wanted = np.zeros(self.blocks, bool)
+            wanted[some] = True
+            open_ = np.flatnonzero(wanted[blocks])
+            posting, own = spread(self.first[entry[open_]].astype(np.int64), self.first[entry[open_] + 1].astype(np.int64))
+            at = self.at[posting]
+            sums = np.bincount(at, v[of[open_]][own] * self.value[posting], len(self.norm))
+            if but >= 0:
+                sums[but] = 0
+            found = np.flatnonzero(sums > 0)
+            if len(found) > k:
+                # All that tie with the k-th stay until they are sorted.
+                kth = np.partition(sums[found], len(found) - k)[len(found) - k]
+                found = found[sums[found] >= kth - 1e-11]
+            best = sorted(best + [(-round(float(sums[i]), 12), int(i)) for i in found])[:k]
+            self.opened += len(some)
+            done, many = done + many, 4 * many
         return [(-s, i) for s, i in best]
 
     def vote(self, near: list[tuple[float, int]]) -> tuple[float, float]:
         total = sum(s * s for s, _ in near)
-        return sum(s * s * self.labels[i] for s, i in near) / total, near[0][0]
-
-    def calibrate(self) -> None:
-        """A logistic curve over the examples' leave-one-out votes, its targets drawn in by one case of each class."""
-        votes, seen, without = [], [], []
-        for i, v in enumerate(self.vectors):
-            if near := self.nearest(v, K, i) if v else []:
-                votes.append(self.vote(near))
-                seen.append(self.labels[i])
-            else:
-                without.append(self.labels[i])
-        prior = (self.labels.sum() + 0.5) / (len(self.labels) + 1)
+        return float(sum(s * s * self.labels[i] for s, i in near) / total), near[0][0]
+
+    def calibrate(self, votes: list[tuple[float, float] | None], labels: list[float]) -> None:
+        """A logistic curve over the examples' leave-one-out votes (None: no neighbour), its targets drawn in by one case of each class."""
+        without = [y for v, y in zip(votes, labels) if v is None]
+        prior = (sum(labels) + 0.5) / (len(labels) + 1)
         self.empty = (sum(without) + prior) / (len(without) + 1)
-        x, y = np.array([(1, a, b) for a, b in votes]).reshape(-1, 3), np.array(seen, float)
+        x, y = np.array([(1, *v) for v in votes if v is not None]).reshape(-1, 3), np.array([y for v, y in zip(votes, labels) if v is not None], float)
         y = (y * max(1, y.sum()) + 1) / (max(1, y.sum()) + 2) if len(y) else y
         w = np.array([-2.0, 4.0, 0.0])
         for _ in range(30):
@@ -135,15 +179,16 @@ class Index:
 
 
 class Scorer:
-    """Scores texts; the terms of chunks and the answers to vectors seen before are looked up."""
+    """Scores texts; the terms of chunks and the answers to texts seen before are looked up."""
 
     CHUNKS = 400_000
 
     def __init__(self, index: Index) -> None:
         self.index, self.chunks, self.answers = index, {}, {}
+        self.place = {t: i for i, t in enumerate(index.terms)}
 
     def vector(self, text: str) -> dict[int, float]:
-        place, chunks, tf = self.index.place, self.chunks, {}
+        place, chunks, tf = self.place, self.chunks, {}
         for chunk, n in Counter(text.split()).items():
             if (own := chunks.get(chunk)) is None:
                 own = tuple(place[t] for t in terms_of(chunk) if t in place)
@@ -153,13 +198,16 @@ class Scorer:
                     chunks[chunk] = own
             for t in own:
                 tf[t] = tf.get(t, 0) + n
-        return tf
+        return dict(sorted(tf.items()))
 
-    def __call__(self, text: str) -> tuple[float, list]:
+    def near(self, text: str, but: int = -1) -> list[tuple[float, int]]:
         tf = self.vector(text)
-        key = tuple(sorted(tf.items()))
+        return self.index.nearest(self.index.unit(tf), K, but) if tf else []
+
+    def __call__(self, text: str) -> tuple[float, list]:
+        key = xxhash.xxh3_128_digest(text)
         if (answer := self.answers.get(key)) is None:
-            near = self.index.nearest(self.index.unit(tf), K) if tf else []
+            near = self.near(text)
             answer = self.index.score(near), [self.index.ids[i] for _, i in near[:3]]
             if len(self.answers) >= 50_000:
                 self.answers.clear()
@@ -187,6 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | Constant:
     # The sample's ids, EXAMPLES at most, are broadcast.
     sample = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES), "sample")
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    texts = saved(texts, "examples")
 
     def make():
         def run(ids, texts):
@@ -195,28 +244,45 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | Constant:
 
         return run
 
-    rows = mapped(texts.select("doc_id", "text"), make, "terms array<string>, counts array<int>")
-    rows = saved(rows, "terms").join(F.broadcast(sample), "doc_id")
-    n, positive = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    rows = saved(mapped(texts.select("doc_id", "text"), make, "terms array<string>, counts array<int>"), "terms").join(F.broadcast(sample), "doc_id")
+    rows = rows.orderBy("doc_id").toArrow()  # EXAMPLES at most
+    ids, toxic = rows["doc_id"].to_pylist(), np.array(rows["toxic"].to_pylist(), float)
+    n, positive = len(ids), int(toxic.sum())
     if not n or not positive or positive == n:
-        return Constant(float((positive or 0) / max(1, n)))
-    seen = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("y"))
-    cell = lambda seen, of, all_: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) * n / (F.col(of) * all_))).otherwise(0.0)
-    table = seen.where("n > 2").withColumns({"a": F.col("y"), "b": F.col("n") - F.col("y"), "m": n - F.col("n")}).withColumns({"c": positive - F.col("a"), "d": n - positive - F.col("b")})
-    g2 = 2 * (cell("a", "n", positive) + cell("b", "n", n - positive) + cell("c", "m", positive) + cell("d", "m", n - positive))
-    tested = saved(table.select("term", "n", g2.alias("g2")), "tested")
-    # Twice the logarithm of the number of terms: under one of them is expected above it by chance.
-    kept = saved(tested.where(F.col("g2") >= 2 * math.log(max(2, tested.count()))).orderBy(F.desc("g2"), "term").limit(TERMS).select("term", "n"), "kept")
-    terms = sorted((r["term"], r["n"]) for r in kept.collect())  # TERMS at most
-    place = {t: i for i, (t, _) in enumerate(terms)}
-    idf = np.array([math.log((1 + n) / (1 + df)) + 1 for _, df in terms])
-    pairs = rows.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", F.col("x.terms").alias("term"), F.col("x.counts").alias("n")).join(F.broadcast(kept.select("term")), "term")
-    vectors: dict[int, dict[int, float]] = {r["doc_id"]: {} for r in sample.select("doc_id").collect()}
-    label = {r["doc_id"]: r["toxic"] for r in rows.select("doc_id", "toxic").collect()}
-    for r in pairs.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n")).alias("of")).collect():  # EXAMPLES at most, TERMS each
-        vectors[r["doc_id"]] = {place[x["term"]]: x["n"] for x in r["of"]}
-    ids = sorted(label)
-    return Index([t for t, _ in terms], idf, [dict(sorted(vectors[i].items())) for i in ids], np.array([label[i] for i in ids], float), ids)
+        return Constant(float(positive / max(1, n)))
+    index = built(rows["terms"].combine_chunks(), rows["counts"].combine_chunks(), toxic, ids)
+    place = {i: k for k, i in enumerate(index.ids)}
+
+    def leave_one_out():
+        scorer = Scorer(index)
+
+        def run(ids, texts):
+            votes = [scorer.index.vote(near) if (near := scorer.near(t, place[i])) else (None, None) for i, t in zip(ids, texts)]
+            return [list(c) for c in zip(*votes, strict=True)]
+
+        return run
+
+    spread_out = texts.select("doc_id", "text").repartition(max(2, min(64, n // 64)))
+    votes = {r["doc_id"]: None if r["share"] is None else (r["share"], r["top"]) for r in mapped(spread_out, leave_one_out, "share double, top double").collect()}  # EXAMPLES at most
+    index.calibrate([votes[i] for i in index.ids], index.labels.tolist())
+    return index
+
+
+def built(terms: pa.ListArray, counts: pa.ListArray, toxic: np.ndarray, ids: list) -> Index:
+    """The index of all terms of the examples; what depends on the label weighs more."""
+    n, positive = len(ids), toxic.sum()
+    words = pc.unique(terms.flatten()).sort()
+    term = pc.index_in(terms.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int64)
+    count = counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    example = np.repeat(np.arange(n), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    df = np.bincount(term, minlength=len(words)).astype(float)
+    a = np.bincount(term, toxic[example], len(words))
+    cell = lambda seen, of, all_: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) * n / np.maximum(of * all_, 1)), 0.0)
+    g2 = 2 * (cell(a, df, positive) + cell(df - a, df, n - positive) + cell(positive - a, n - df, positive) + cell(n - positive - df + a, n - df, n - positive))
+    # Twice the logarithm of the number of terms tested: under one of them is expected above it by chance.
+    telling = (df > 2) & (g2 >= 2 * math.log(max(2, int((df > 2).sum()))))
+    weights = (np.log((1 + n) / (1 + df)) + 1) * np.where(telling, 1.0, PLAIN)
+    return Index(words.to_pylist(), weights, term, example, count, toxic, ids)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,16 +48,71 @@ def test_without_classes(spark, frame):
     assert tk.op5(frame([]), labels).collect() == []
 
 
+def slow_terms(text):
+    """Words and their beginnings of four and five letters, counted one by one."""
+    out = Counter()
+    for word in re.findall(r"[^\W_]+", text.lower()):
+        for term in [word, *(word[:n] + "~" for n in (4, 5) if len(word) > n)]:
+            out[term] += 1
+    return out
+
+
+def slow_cosine(a, b, weight):
+    va, vb = ({t: (1 + math.log(n)) * weight[t] for t, n in x.items() if t in weight} for x in (a, b))
+    size = math.sqrt(sum(x * x for x in va.values()) * sum(x * x for x in vb.values()))
+    return sum(x * vb.get(t, 0.0) for t, x in va.items()) / size if size else 0.0
+
+
+def test_the_whole_query_against_brute_force(spark, frame, odd_rows):
+    rows, labels, _ = corpus(260, 5)
+    docs = frame(rows + odd_rows[60:])
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    index = tk.fit(docs.select("doc_id", "text"), known)
+    toxic = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert sorted(index.ids) == sorted(toxic)
+    texts = dict(rows)
+    for i, t in odd_rows[60:]:
+        if i in texts:
+            texts[i] = min(texts[i], t or "")
+    own = {i: slow_terms(texts[i]) for i in toxic}
+    df = Counter(t for c in own.values() for t in c)
+    weight = {t: (math.log((1 + len(own)) / (1 + n)) + 1) * (1.0 if index.weights[index.terms.index(t)] > 0.9 else tk.PLAIN) for t, n in df.items()}
+    assert sorted(df) == index.terms
+    found = sorted(tk.op5(docs, known).collect(), key=lambda r: repr(tuple(r)[:3]))
+    slow = []
+    for i, t in rows + odd_rows[60:]:
+        cosines = {j: slow_cosine(slow_terms(t or ""), own[j], weight) for j in own}
+        near = sorted((-round(c, 9), index.ids.index(j)) for j, c in cosines.items() if c > 0)[: tk.K]
+        if near:
+            share = sum(c * c * toxic[index.ids[k]] for c, k in near) / sum(c * c for c, _ in near)
+            score = 1 / (1 + math.exp(-(index.curve @ (1, share, -near[0][0]))))
+        else:
+            score = index.empty
+        slow.append((i, score, len(near)))
+    # A text has neighbours where any example has one of its terms.
+    order = lambda r: (r[0] is None, r[0] or 0, round(r[1], 4))
+    for a, b in zip(sorted(((r.doc_id, r.score, len(r.evidence)) for r in found), key=order), sorted(slow, key=order), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 and a[2] == min(3, b[2])
+    assert sum(not b[2] for b in slow) <= 12
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_block_max_search_is_exact(seed):
     rng = random.Random(seed)
-    vectors = [{t: rng.randint(1, 5) for t in rng.sample(range(40), rng.randint(0, 6))} for _ in range(700)]
-    idf = np.array([1 + rng.random() * 4 for _ in range(40)])
-    index = tk.Index([str(t) for t in range(40)], idf, vectors, np.array([rng.random() < 0.3 for _ in vectors], float), list(range(700)))
-    index.opened = 0
+    vectors = [{t: rng.randint(1, 5) for t in rng.sample(range(40), rng.randint(0, 6))} for _ in range(2000)]
+    weights = np.array([1 + rng.random() * 4 for _ in range(40)])
+    weights[:5] *= 20
+    posted = [(t, i, n) for i, v in enumerate(vectors) for t, n in v.items()]
+    index = tk.Index([str(t) for t in range(40)], weights, *(np.array(c) for c in zip(*posted)), np.array([rng.random() < 0.3 for _ in vectors], float), list(range(2000)))
+    own = [{t: (1 + math.log(n)) * weights[t] for t, n in vectors[i].items()} for i in index.ids]
+    size = [math.sqrt(sum(x * x for x in v.values())) for v in own]
     for _ in range(60):
         q = index.unit({t: rng.randint(1, 5) for t in rng.sample(range(40), rng.randint(1, 6))})
-        cosines = [round(sum(w * v.get(t, 0) for t, w in q.items()), 12) for v in index.vectors]
-        brute = sorted((-c, i) for i, c in enumerate(cosines) if c > 0)[: tk.K]
-        assert [(round(c, 9), i) for c, i in index.nearest(q, tk.K)] == [(round(-c, 9), i) for c, i in brute] or [round(c, 9) for c, _ in index.nearest(q, tk.K)] == [round(-c, 9) for c, _ in brute]
-    assert index.opened < 120 * index.blocks
+        cosines = [sum(x * v.get(t, 0) for t, x in zip(q[0].tolist(), q[1].tolist())) / n if n else 0.0 for v, n in zip(own, size)]
+        brute = sorted((-round(c, 9), i) for i, c in enumerate(cosines) if c > 0)[: tk.K]
+        near = index.nearest(q, tk.K)
+        assert len(near) == len(brute) and all(abs(a[0] + b[0]) < 1e-8 for a, b in zip(near, brute))
+        assert all(abs(c - cosines[i]) < 1e-9 for c, i in near)
+        left = index.nearest(q, tk.K, near[0][1])
+        assert near[0][1] not in {i for _, i in left} and len(left) == min(tk.K, sum(c > 0 for c in cosines) - 1)
+    assert index.opened < 100 * index.blocks
