@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from itertools import accumulate
 
 from codefacts.frontend.lexer import normalised
-from codefacts.frontend.parser import Node, parse
+from codefacts.frontend.parser import Node, deep, parse
 from codefacts.frontend.types import type_rows
 
 FUNCTIONS = ("Function", "Arrow")
@@ -50,13 +50,15 @@ class File:
         self.params: list[dict] = []
         self.shapes: list[dict] = []
         self.decls: dict[str, dict] = {}
+        self.innermost: dict[int, Node] = {}
         for statement in self.program.children:
             self.module_statement(statement)
         self.top = Scope(None, True)
-        self.declare(self.program.children, self.top)
-        self.walk(self.program, self.top, Context())
-        self.types = type_rows(self)
-        self.declared()
+        with deep(self.source):
+            self.declare(self.program.children, self.top)
+            self.walk(self.program, self.top, Context())
+            self.types = type_rows(self)
+            self.declared()
 
     def at(self, offset: int) -> int:
         return offset if self.wide is None else self.wide[min(offset, len(self.source))]
@@ -126,7 +128,7 @@ class File:
                 self.declare_variables(s, scope)
             elif s.kind in ("Enum", "Namespace", "ImportEquals") and s.children and s.children[0].kind == "Binding":
                 scope.names.setdefault(s.children[0].name, ("other",))
-            if s.kind in ("If", "For", "ForOf", "ForIn", "While", "DoWhile", "Try", "Switch", "Labeled", "Catch", "Case"):
+            if scope.function and s.kind in ("If", "For", "ForOf", "ForIn", "While", "DoWhile", "Try", "Switch", "Labeled", "Catch", "Case", "Block"):
                 self.declare_vars(s, scope)
 
     def declare_variables(self, s: Node, scope: Scope) -> None:
@@ -204,9 +206,12 @@ class File:
                     return self.member(self.resolved(self.value_of(m), scope), e.name, True, scope)
         return None
 
-    def resolved(self, value: tuple | None, scope: Scope, depth: int = 0) -> tuple | None:
-        while value is not None and value[0] == "same" and depth < 20:
-            value, depth = scope.find(value[1]), depth + 1
+    def resolved(self, value: tuple | None, scope: Scope) -> tuple | None:
+        """What a name stands for, through any number of names; one that stands for itself stays a name."""
+        seen = set()
+        while value is not None and value[0] == "same" and value[1] not in seen:
+            seen.add(value[1])
+            value = scope.find(value[1])
         return value
 
     def called(self, value: tuple | None) -> tuple | None:
@@ -218,16 +223,18 @@ class File:
             return ("import", value[1], value[2], None, False)
         return None
 
-    def member(self, value: tuple | None, name: str, instance: bool, scope: Scope, base: bool = False, depth: int = 0) -> tuple | None:
-        if value is None or depth > 20:
+    def member(self, value: tuple | None, name: str, instance: bool, scope: Scope, base: bool = False, seen: set | None = None) -> tuple | None:
+        seen = set() if seen is None else seen
+        if value is None or (key := (value[0], value[1] if isinstance(value[1], str) else id(value[1]), base)) in seen:
             return None
+        seen.add(key)
         if value[0] == "new":
             c = bare(value[1].callee)
             found = self.resolved(scope.find(c.name), scope) if c.kind == "Ref" else None
-            return self.member(found, name, True, scope, depth=depth + 1) if found and found[0] in ("class", "import") else None
+            return self.member(found, name, True, scope, seen=seen) if found and found[0] in ("class", "import") else None
         if value[0] == "typed":
             found = scope.find(value[1])
-            return self.member(found, name, True, scope, depth=depth + 1) if found and found[0] in ("class", "import") else None
+            return self.member(found, name, True, scope, seen=seen) if found and found[0] in ("class", "import") else None
         if value[0] == "import":
             if value[2] == "*" and not instance:
                 return ("import", value[1], name, None, False)
@@ -248,7 +255,7 @@ class File:
                     return ("fn", v) if v is not None and v.kind in FUNCTIONS and v.body is not None else None
             parent = value[1].base
             if parent is not None and bare(parent).kind == "Ref":
-                return self.member(self.resolved(scope.find(bare(parent).name), scope), name, True, scope, depth=depth + 1)
+                return self.member(self.resolved(scope.find(bare(parent).name), scope), name, True, scope, seen=seen)
         return None
 
     # Functions, calls, parameters, shapes
@@ -312,9 +319,11 @@ class File:
 
     def call(self, node: Node, scope: Scope, context: Context) -> None:
         # The call that begins where this one does, and lies innermost, is the one whose callee counts.
-        inner = node
-        while (lead := leading_call(inner)) is not None:
-            inner = lead
+        chain = [node]
+        while id(chain[-1]) not in self.innermost and (lead := leading_call(chain[-1])) is not None:
+            chain.append(lead)
+        inner = self.innermost.get(id(chain[-1]), chain[-1])
+        self.innermost.update((id(c), inner) for c in chain)
         found = self.callee(inner.callee, scope, context.this)
         row = {"call_start": self.at(node.start), "enclosing": context.enclosing, "target": None, "specifier": None, "name": None, "member": None, "ord": len(self.calls)}
         if found is not None:
@@ -355,19 +364,21 @@ class File:
                         row["members"].append({"name": member, "target": self.at(self.fn_start(found[1]))})
             self.decls[name] = row
 
-    def member_names(self, value: tuple, scope: Scope, depth: int = 0) -> list[str]:
-        if value is None or depth > 20:
+    def member_names(self, value: tuple | None, scope: Scope, seen: set | None = None) -> list[str]:
+        seen = set() if seen is None else seen
+        if value is None or (key := (value[0], value[1] if isinstance(value[1], str) else id(value[1]))) in seen:
             return []
+        seen.add(key)
         if value[0] == "new":
             c = bare(value[1].callee)
-            return self.member_names(self.resolved(scope.find(c.name), scope), scope, depth + 1) if c.kind == "Ref" else []
+            return self.member_names(self.resolved(scope.find(c.name), scope), scope, seen) if c.kind == "Ref" else []
         if value[0] == "typed":
-            return self.member_names(scope.find(value[1]), scope, depth + 1)
+            return self.member_names(scope.find(value[1]), scope, seen)
         if value[0] not in ("class", "object"):
             return []
         own = [m.key.name for m in value[1].members or [] if m.key is not None and m.key.name]
         parent = value[1].base
-        more = self.member_names(self.resolved(scope.find(bare(parent).name), scope), scope, depth + 1) if parent is not None and bare(parent).kind == "Ref" else []
+        more = self.member_names(self.resolved(scope.find(bare(parent).name), scope), scope, seen) if parent is not None and bare(parent).kind == "Ref" else []
         return list(dict.fromkeys([*own, *more]))
 
 

@@ -6,6 +6,10 @@ read. Nodes are kept in source order; a node's kind tells apart binding, referen
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from codefacts.frontend.lexer import RESERVED, Token, template_at, token_at
 
 
@@ -39,6 +43,8 @@ class Parser:
         self.tokens: list[Token] = []
         self.errors = 0
         self.no_in = False
+        self.failed: set[tuple] = set()
+        self.before_arrow: dict[int, bool] = {}
         self.token = token_at(source, 1 + source.find("\n") if source.startswith("#!") else 0, True)
 
     # Tokens
@@ -97,12 +103,16 @@ class Parser:
         return Node(kind, t.start, t.end, [], {"name": t.text, **attrs})
 
     def attempt(self, parse):
-        """What parse returns, or None, everything being as before, where it fails."""
+        """What parse returns, or None, everything being as before, where it fails; what failed at a place fails there again."""
+        key = (self.token.start, parse.__name__, self.no_in, self.no_conditional)
+        if key in self.failed:
+            return None
         state = self.state()
         try:
             return parse()
         except (SyntaxTrouble, RecursionError):
             self.back(state)
+            self.failed.add(key)
             return None
 
     def semicolon(self) -> None:
@@ -760,19 +770,24 @@ class Parser:
 
     def may_be_arrow(self, start: int) -> bool:
         """Whether an arrow or a colon follows the bracket that closes the one at a place."""
-        depth, pos, t = 0, start, None
+        if start in self.before_arrow:
+            return self.before_arrow[start]
+        # The brackets inside are answered on the way.
+        open_, pos, t = [], start, None
         while True:
             t = token_at(self.source, pos, t is None or self.operand_next(t))
             if t.kind == "eof":
+                self.before_arrow.update((p, False) for p in open_)
                 return False
             if t.kind == "template" and t.text.endswith("${"):
                 pos = self.behind_template(t)
                 continue
-            if t.kind == "punct":
-                depth += t.text in ("(", "[", "{")
-                depth -= t.text in (")", "]", "}")
-                if not depth:
-                    return token_at(self.source, t.end, False).text in ("=>", ":", "{")
+            if t.kind == "punct" and t.text in ("(", "[", "{"):
+                open_.append(t.start)
+            elif t.kind == "punct" and t.text in (")", "]", "}"):
+                self.before_arrow[open_.pop()] = token_at(self.source, t.end, False).text in ("=>", ":", "{")
+                if not open_:
+                    return self.before_arrow[start]
             pos = t.end
 
     def behind_template(self, t: Token) -> int:
@@ -1519,7 +1534,27 @@ def unquoted(text: str) -> str:
     return "".join(out)
 
 
+#: Calls that one more level of nesting takes at most, from statement or type to what lies inside.
+CALLS_A_LEVEL = 24
+
+
+@contextmanager
+def deep(source: str) -> Iterator[None]:
+    """Room for as many nested calls as a source can have levels.
+
+    Every level takes a character. Frames of Python functions lie on the heap, so that the limit is all that
+    stands against deep nesting; it is the process's own again afterwards.
+    """
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 1000 + CALLS_A_LEVEL * len(source)))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def parse(source: str, file: str = "a.ts") -> tuple[Node, list[Token], int]:
     """The program, its tokens and the number of statements that could not be read."""
-    parser = Parser(source, file.endswith("x"))
-    return parser.program(), parser.tokens, parser.errors
+    with deep(source):
+        parser = Parser(source, file.endswith("x"))
+        return parser.program(), parser.tokens, parser.errors

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.storage import saved
 
-#: Aliases that a name is followed through at most: chains of re-exports.
-HOPS = 32
-
 
 def resolved_imports(specifiers: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:
     """program, file, specifier, target: the best candidate that exists, if it is a file of the program."""
@@ -89,19 +89,22 @@ def calls_to_edges(calls: DataFrame, decls: DataFrame, exports: DataFrame, impor
     ends = saved(declared.where("from_specifier is null").select("program", "at_file", "name", "start", "members"), "ends")
     names = saved(exports.select("program", F.col("file").alias("at_file"), "name").distinct(), "names")
     pending = saved(asked.distinct().select("*", F.col("at_file").alias("to_file"), F.col("name").alias("to_name"), F.col("member").alias("to_member"), F.lit(0).alias("hop")), "pending")
-    found = None
-    for hop in range(1, HOPS + 1):
+    # Followed until nothing is new: chains of any length, and cycles end as each place is asked once.
+    found, seen, hop = pending.select(*key, F.col("to_file").alias("f"), F.lit(None).cast("int").alias("start"), "hop").limit(0), pending.drop("hop"), 0
+    while not pending.isEmpty():
+        hop += 1
         # '*' with a member is that name of the module itself.
         here = pending.select(*key, "hop", F.when((F.col("to_name") == "*") & F.col("to_member").isNotNull(), F.col("to_member")).otherwise(F.col("to_name")).alias("n"), F.when(F.col("to_name") == "*", F.lit(None)).otherwise(F.col("to_member")).alias("m"), F.col("to_file").alias("f"))
         there = lambda df: df.withColumnsRenamed({"at_file": "f", "name": "n"})
         hit = here.join(there(ends), ["program", "f", "n"]).select(*key, "f", F.when(F.col("m").isNull(), F.col("start")).otherwise(F.expr("get(transform(filter(members, x -> x.name = m), x -> x.target), 0)")).alias("start"), "hop")
-        found = hit if found is None else found.unionByName(hit)
+        found = found.unionByName(hit)
         step = here.join(there(via), ["program", "f", "n"]).select(*key, "to_file", "to_name", F.col("m").alias("to_member"))
         unnamed = here.where("n <> 'default'").join(there(names), ["program", "f", "n"], "left_anti")
         step = step.unionByName(unnamed.join(stars.withColumnRenamed("at_file", "f"), ["program", "f"]).select(*key, "to_file", F.col("n").alias("to_name"), F.col("m").alias("to_member")))
-        pending = saved(step.distinct().withColumn("hop", F.lit(hop)), "pending")
-        if pending.isEmpty():
-            break
+        step = step.distinct()
+        own = [step[c].eqNullSafe(seen[c]) for c in step.columns]
+        pending = saved(step.join(seen, reduce(operator.and_, own), "left_anti").withColumn("hop", F.lit(hop)), "pending")
+        seen = seen.unionByName(pending.drop("hop"))
     targets_of = found.where("start is not null").groupBy(*key).agg(F.min_by(F.struct("f", "start"), F.struct("hop", "f", "start")).alias("x")).select(*key, F.col("x.f").alias("dst_file"), F.col("x.start").alias("dst_start"))
     same = lambda c: F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}"))
     outer = outer.alias("o").join(targets_of.alias("t"), same("program") & same("at_file") & same("name") & same("member")).select("o.program", "o.file", "o.call_start", "o.ord", "o.enclosing", "t.dst_file", "t.dst_start")

@@ -1,5 +1,7 @@
 """The parser and what it tells about a file."""
 
+import sys
+
 import pytest
 
 from codefacts.frontend.facts import File
@@ -124,3 +126,36 @@ def test_types():
     assert [(t["name"], t["has_extends"], len(t["fields"])) for t in f.types] == [("A", False, 4), ("X", False, 6), ("Y", True, 0), ("W", True, 0)]
     assert [(x["name"], x["optional"], x["readonly"], x["canonical_type"]) for x in f.types[0]["fields"]] == [("0", False, False, '"q"'), ("a", False, True, "B<C.D, 1>"), ("b", True, False, "null | string[]"), ("m", False, False, "(x: number) => void")]
     assert [x["canonical_type"] for x in f.types[1]["fields"]] == ["UnaryNegation", "unknown", "[p: number, q?: string, ...r: T[]]", "typeof z.w", "{ x?: 2; y: 1 }", "A | B | C"]
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "function f(){}\nfunction g(){" + "if(x){" * 5000 + "f()" + "}" * 5000 + "}",
+        "function f(){}\nconst a = " + "(" * 5000 + "f()" + ")" * 5000,
+        "function f(){}\nconst a = " + "[" * 5000 + "f()" + "]" * 5000,
+        "function f(){}\nconst a = " + "()=>" * 500 + "f()",
+        "function f(){}\nconst a = " + "x?1:" * 5000 + "f()",
+        "function f(){}\nconst s = " + "+".join(['"a"'] * 5000) + ";\nf()",
+        "function f(){}\ntype T = " + "A<" * 3000 + "B" + ">" * 3000 + ";\nf()",
+    ],
+)
+def test_deep_nesting_loses_no_call(source):
+    limit = sys.getrecursionlimit()
+    file = File(source)
+    assert not file.errors and [c["target"] for c in file.calls if c["target"] is not None] == [9]
+    assert sys.getrecursionlimit() == limit
+
+
+def test_long_chains_of_calls_names_and_classes():
+    assert len(File("p" + ".then(f)" * 5000).calls) == 5000
+    names = "function f(){}\nconst a0 = f;\n" + "".join(f"const a{i + 1} = a{i};\n" for i in range(60)) + "a60();"
+    assert File(names).calls[0]["target"] == 9
+    classes = "class C0 { hit() {} }\n" + "".join(f"class C{i + 1} extends C{i} {{}}\n" for i in range(60)) + "new C60().hit();"
+    assert File(classes).calls[-1]["target"] is not None
+    assert File("const a = b;\nconst b = a;\na();\nclass D extends E {}\nclass E extends D {}\nnew D().x();").calls[0]["target"] is None
+
+
+def test_brackets_that_never_close_and_cases_that_fail_often():
+    for source in ("(" * 300, "(a" * 200 + "=>", "f<" * 200, "x ? (y) : " * 100 + "1 +", "()=>" * 200 + "}"):
+        File(source)
