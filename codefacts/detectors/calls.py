@@ -42,7 +42,7 @@ def single_use_chain(facts, options, paths: DataFrame | None = None) -> DataFram
 
 def suppressed(facts, paths: DataFrame) -> DataFrame:
     """program, fn: chain members, and heads that only forward to the first of them."""
-    inside = paths.select("program", F.explode(F.slice("path", 2, 1 << 20)).alias("fn"))
+    inside = paths.select("program", F.explode(F.slice("path", F.lit(2), F.size("path"))).alias("fn"))
     heads = paths.select("program", F.get("path", F.lit(0)).alias("src"), F.get("path", F.lit(1)).alias("dst")).distinct()
     forwards = facts.functions.where("forward is not null").select("program", F.col("fn").alias("src"), F.col("forward.call_start").alias("call_start"))
     forwarding = heads.join(facts.edges, ["program", "src", "dst"]).join(forwards, ["program", "src", "call_start"], "left_semi")

@@ -7,7 +7,7 @@ all joins carry them, so that many graphs are worked on at once.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from codefacts.storage import saved
 
-#: Edges of one group up to which its closure is found inside one task; larger graphs go round by round.
+#: Work (edges, times labels) of one group up to which it is done inside one task; larger groups go round by round.
 IN_TASK = 2_000_000
+#: Work of all groups that one task takes.
+A_TASK = 250_000
 
 
 def in_degree(edges: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -27,53 +29,73 @@ def in_degree(edges: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame, group: Sequence[str] = (), label: Sequence[str] = ()) -> DataFrame:
     """The nodes (group, label, node) on a path from the roots (group, label, node), roots included.
 
-    edges: group, src, dst. With ``label`` the closure is found for each label by itself. Groups whose
-    edges fit one task are searched there, all in one shuffle; if any group is larger, the closure
-    goes round by round as joins, whose frontier alone is shuffled, each round written down.
+    edges: group, src, dst. With ``label`` the closure is found for each label by itself. Groups are
+    searched inside tasks, many in one, all in one shuffle. Those with more than IN_TASK edges times labels, and a graph
+    without groups, go round by round as joins, whose frontier alone is shuffled, each round written down. An
+    edge or root with a null is no part of any path.
     """
     keys = [*group, *label]
-    roots = roots.select(*keys, "node").distinct()
-    edges = edges.select(*group, "src", "dst").distinct()
-    most = edges.groupBy(*group).count().agg(F.max("count")).first()[0] if group else edges.count()
+    roots = saved(roots.select(*keys, "node").dropna().distinct(), "roots")
+    edges = saved(edges.select(*group, "src", "dst").dropna().distinct(), "edges")
+    if not group:
+        return _rounds(edges, roots, [], keys)
+    many = roots.groupBy(*group).agg(F.count_distinct(*[F.col(c) for c in label or ["node"]]).alias("labels"))
+    work = edges.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(many, [*group])
+    small, large, tasks = _dealt(work.withColumn("work", F.col("n") * (F.col("labels") if label else F.lit(1))), list(group))
+    found = _in_tasks(small(edges), small(roots), list(group), list(label), tasks)
+    # Roots of groups without edges are all that they reach.
+    alone = roots.join(edges.select(*group).distinct(), list(group), "left_anti")
+    found = found.unionByName(alone)
+    return found if large is None else found.unionByName(_rounds(large(edges), large(roots), list(group), keys))
+
+
+def _dealt(work: DataFrame, group: list[str]) -> tuple[Callable, Callable | None, int]:
+    """Filters of the groups that are done in tasks and of the larger ones (None if there is none), and how many tasks. work: group, work."""
+    total, most = work.agg(F.sum("work"), F.max("work")).first()
+    tasks = max(1, -(-(total or 0) // A_TASK), min(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // 4096))
     if (most or 0) <= IN_TASK:
-        return _in_tasks(edges, roots, list(group), list(label))
-    edges = saved(edges, "edges")
-    seen = frontier = saved(roots, "reached")
+        return lambda df: df, None, tasks
+    heavy = saved(work.where(F.col("work") > IN_TASK).select(*group), "heavy")
+    return lambda df: df.join(heavy, group, "left_anti"), lambda df: df.join(heavy, group, "left_semi"), tasks
+
+
+def _rounds(edges: DataFrame, roots: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
+    seen = frontier = roots
+    following = edges.withColumnRenamed("src", "node")
     while not frontier.isEmpty():
-        step = frontier.join(edges.withColumnRenamed("src", "node"), [*group, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
+        step = frontier.join(following, [*group, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
         frontier = saved(step.join(seen, [*keys, "node"], "left_anti"), "reached")
         seen = seen.unionByName(frontier)
     return seen
 
 
-def _in_tasks(edges: DataFrame, roots: DataFrame, group: list[str], label: list[str]) -> DataFrame:
-    keys = group or ["one"]
-    if not group:
-        edges, roots = edges.withColumn("one", F.lit(0)), roots.withColumn("one", F.lit(0))
-    schema = ", ".join(f"`{c}` {roots.schema[c].dataType.simpleString()}" for c in [*group, *label, "node"])
-    names = [*group, *label]
+def _in_tasks(edges: DataFrame, roots: DataFrame, group: list[str], label: list[str], tasks: int) -> DataFrame:
+    names = [*group, *label, "node"]
+    schema = ", ".join(f"`{c}` {roots.schema[c].dataType.simpleString()}" for c in names)
+    g = len(group)
 
     def closure(key: tuple, own: pa.Table, start: pa.Table) -> pa.Table:
         following: dict = {}
-        for a, b in zip(own.column("src").to_pylist(), own.column("dst").to_pylist()):
-            following.setdefault(a, []).append(b)
+        for *of, a, b in zip(*(own.column(c).to_pylist() for c in [*group, "src", "dst"])):
+            following.setdefault((*of, a), []).append(b)
         first: dict = {}
-        for row in zip(*(start.column(c).to_pylist() for c in [*names, "node"])):
+        for row in zip(*(start.column(c).to_pylist() for c in names)):
             first.setdefault(row[:-1], []).append(row[-1])
-        out = []
+        out: list[list] = [[] for _ in names]
         for of, nodes in first.items():
-            seen, queue = set(nodes), deque(nodes)
+            seen, queue, where = set(nodes), deque(nodes), of[:g]
             while queue:
-                for n in following.get(queue.popleft(), ()):
+                for n in following.get((*where, queue.popleft()), ()):
                     if n not in seen:
                         seen.add(n)
                         queue.append(n)
-            out += [(*of, n) for n in seen]
-        return pa.table([pa.array([r[i] for r in out], type=start.schema.field(c).type) for i, c in enumerate([*names, "node"])], names=[*names, "node"])
+            for column, value in zip(out, of):
+                column += [value] * len(seen)
+            out[-1] += seen
+        return pa.table([pa.array(c, type=start.schema.field(n).type) for c, n in zip(out, names)], names=names)
 
-    # New column identities: edges and roots may come from one table.
-    edges, roots = edges.toDF(*edges.columns), roots.toDF(*roots.columns)
-    return edges.groupBy(*keys).cogroup(roots.groupBy(*keys)).applyInArrow(closure, schema)
+    dealt = lambda df: df.withColumn("task", F.pmod(F.xxhash64(*group), F.lit(tasks))).groupBy("task")
+    return dealt(edges).cogroup(dealt(roots)).applyInArrow(closure, schema)
 
 
 def forest_paths(edges: DataFrame, eligible: DataFrame, group: Sequence[str] = (), least: int = 3) -> DataFrame:
@@ -81,13 +103,46 @@ def forest_paths(edges: DataFrame, eligible: DataFrame, group: Sequence[str] = (
 
     edges: group, src, dst; eligible: group, node, each with one incoming edge at most, so that paths
     never merge. A path is emitted at its leaf if it has ``least`` nodes; cycles of eligible
-    nodes are never entered. One join for each step of the longest path.
+    nodes are never entered. Groups of at most IN_TASK edges are walked inside tasks, many in one; larger ones, and a graph
+    without groups, by one join for each step of the longest path.
     """
     g = list(group)
     inside = eligible.select(*g, "node").distinct()
     to_inside = edges.select(*g, "src", "dst").distinct().join(inside.withColumnRenamed("node", "dst"), [*g, "dst"])
     flagged = to_inside.join(inside.withColumnRenamed("node", "src").withColumn("within", F.lit(True)), [*g, "src"], "left")
     steps = saved(flagged.select(*g, "src", "dst", F.coalesce("within", F.lit(False)).alias("within")), "steps")
+    if not g:
+        return _step_by_step(steps, g, least)
+    small, large, tasks = _dealt(steps.groupBy(*g).agg(F.count(F.lit(1)).alias("work")), g)
+    node = steps.schema["src"].dataType.simpleString()
+    schema = ", ".join(f"`{c}` {steps.schema[c].dataType.simpleString()}" for c in g) + f", path array<{node}>"
+
+    def walk(key: tuple, own: pa.Table) -> pa.Table:
+        onward: dict = {}
+        heads = []
+        for *of, a, b, within in zip(*(own.column(c).to_pylist() for c in [*g, "src", "dst", "within"])):
+            if within:
+                onward.setdefault((*of, a), []).append(b)
+            else:
+                heads.append((tuple(of), [a, b]))
+        out = []
+        while heads:
+            of, path = heads.pop()
+            while (following := onward.get((*of, path[-1]))) and len(following) == 1:
+                path.append(following[0])
+            if following:
+                heads += [(of, [*path, n]) for n in following]
+            elif len(path) >= least:
+                out.append((*of, path))
+        types = [own.schema.field(c).type for c in g] + [pa.list_(own.schema.field("src").type)]
+        return pa.table([pa.array([r[i] for r in out], type=t) for i, t in enumerate(types)], names=[*g, "path"])
+
+    dealt = small(steps).withColumn("task", F.pmod(F.xxhash64(*g), F.lit(tasks)))
+    found = dealt.groupBy("task").applyInArrow(walk, schema)
+    return found if large is None else found.unionByName(_step_by_step(saved(large(steps), "steps"), g, least))
+
+
+def _step_by_step(steps: DataFrame, g: list[str], least: int) -> DataFrame:
     between = steps.where("within").select(*g, F.col("src").alias("last"), "dst")
     onward = between.select(*g, "last").distinct()
     paths = steps.where("not within").select(*g, F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
