@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.operators.relational import path_order
+from codefacts.storage import saved
 
 SCHEMA = "program string, shape string, detector_ord int, file string, line int, span_start int, subject string, evidence array<struct<label: string, annotation: string, is_subject: boolean>>, intra_ord long"
 COLUMNS = [c.strip().split(" ")[0] for c in ("program", "shape", "detector_ord", "file", "line", "span_start", "subject", "evidence", "intra_ord")]
@@ -40,3 +41,13 @@ def findings(rows: DataFrame, shape: str, evidence: Column, order: Column, file:
 def ordered(found: DataFrame) -> DataFrame:
     """By program, file component by component, place and subject; ties in detector order."""
     return found.orderBy("program", path_order("file"), "span_start", "subject", "detector_ord", "intra_ord")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Sorted rows with ``place``, from 1: their number in the order. Counts of partitions alone meet in one place."""
+    mark = saved(rows.withColumn("mark", F.monotonically_increasing_id()), "sorted")
+    part = F.call_function("shiftright", F.col("mark"), F.lit(33))
+    counts = mark.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    placed = mark.withColumn("part", part).join(F.broadcast(before), "part")
+    return placed.withColumn("place", F.col("before") + F.col("mark").bitwiseAND((1 << 33) - 1) + 1).drop("mark", "part", "before")

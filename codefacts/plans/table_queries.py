@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codefacts.findings import numbered
 from codefacts.operators import graph, relational, similarity
+from codefacts.operators import ranges as ranges_op
 from codefacts.storage import saved
 
 
@@ -168,9 +170,34 @@ def q_findings_ordered(spark, sf_dir):
         q_pass_through(spark, sf_dir).select(F.lit("pass-through").alias("shape"), F.lit(3).alias("ord"), F.concat(F.lit("users/"), F.col("user_id").cast("string"), F.lit("/"), F.col("day")).alias("file"), F.col("day").alias("subject")),
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.orderBy(relational.path_order("file"), "subject", "ord").select("shape", "file", "subject")
+    return numbered(rows.orderBy(relational.path_order("file"), "subject", "ord")).select("place", "shape", "file", "subject")
 
 
+def spans(spark, sf_dir):
+    """Orders as points, and as ranges of days that begin with them and are as long as their price says."""
+    o = read(spark, sf_dir, "orders")
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
+    length = F.floor(F.col("o_totalprice") / 1000).cast("int")
+    return o.select("o_custkey", F.col("o_orderkey").alias("point"), day.alias("at")), o.select("o_custkey", F.col("o_orderkey").alias("around"), day.alias("start"), (day + length).alias("end"))
+
+
+def q_tightest_containing(spark, sf_dir):
+    """Of the ranges of the same customer around each order's day the shortest."""
+    points, ranges = spans(spark, sf_dir)
+    found = ranges_op.tightest(points, ranges, ["o_custkey"], ["around"])
+    return found.select(F.col("point.point").alias("o_orderkey"), F.col("range.around").alias("around"))
+
+
+def q_first_inside(spark, sf_dir):
+    """Of the orders of the same customer inside each range the one with the smallest key."""
+    points, ranges = spans(spark, sf_dir)
+    found = ranges_op.first_inside(ranges, points, ["o_custkey"], ["point"])
+    return found.select(F.col("range.around").alias("around"), F.col("point.point").alias("o_orderkey"))
+
+
+SPANS = """s AS (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS at, CAST(floor(o_totalprice / 1000) AS INTEGER) AS size FROM orders),
+m AS (SELECT p.o_orderkey AS point, r.o_orderkey AS around, r.size FROM s p JOIN s r ON p.o_custkey = r.o_custkey AND r.at <= p.at AND p.at < r.at + r.size)"""
+
 WINDOWS = r"""t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^ \t\n\r]+') AS w FROM documents),
 g AS (SELECT doc_id, list_sort(list_transform(range(1, len(w) - 48), lambda i: array_to_string(list_slice(w, i, i + 49), ' '))) AS gs FROM t WHERE len(w) >= 50)"""
 
@@ -204,10 +231,14 @@ SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_partkey IN
 CAST(1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS BIGINT) AS n_lines FROM documents""",
     "q_json": "SELECT TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
 }
-SQL["q_findings_ordered"] = f"""WITH one AS ({SQL["q_in_degree_one"]}), two AS ({SQL["q_unreached_imports"]}), three AS ({SQL["q_pass_through"]})
-SELECT 'in-degree one' AS shape, 'orders/' || node AS file, CAST(node AS VARCHAR) AS subject FROM one
-UNION ALL SELECT 'unreached', 'customers/' || o_custkey, CAST(o_custkey AS VARCHAR) FROM two
-UNION ALL SELECT 'pass-through', 'users/' || user_id || '/' || day, day FROM three"""
+SQL["q_findings_ordered"] = f"""WITH one AS ({SQL["q_in_degree_one"]}), two AS ({SQL["q_unreached_imports"]}), three AS ({SQL["q_pass_through"]}),
+u AS (SELECT 'in-degree one' AS shape, 1 AS ord, 'orders/' || node AS file, CAST(node AS VARCHAR) AS subject FROM one
+UNION ALL SELECT 'unreached', 2, 'customers/' || o_custkey, CAST(o_custkey AS VARCHAR) FROM two
+UNION ALL SELECT 'pass-through', 3, 'users/' || user_id || '/' || day, day FROM three)
+SELECT row_number() OVER (ORDER BY string_split(file, '/'), subject, ord) AS place, shape, file, subject FROM u"""
+SQL["q_tightest_containing"] = f"""WITH {SPANS}
+SELECT point AS o_orderkey, arg_min(around, (size, around)) AS around FROM m GROUP BY point"""
+SQL["q_first_inside"] = f"WITH {SPANS} SELECT around, min(point) AS o_orderkey FROM m GROUP BY around"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

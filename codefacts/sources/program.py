@@ -35,10 +35,14 @@ class Program:
     paths: dict[str, list[str]] = field(default_factory=dict)
     #: All files below the root, of whatever kind: what a specifier may resolve to.
     known: list[str] = field(default_factory=list)
+    #: Folders with a package.json: at, package (the fields by which specifiers resolve).
+    packages: list[dict] = field(default_factory=list)
+    #: Packages that node_modules folders link to: at (the folder around node_modules), name, real, package.
+    links: list[dict] = field(default_factory=list)
 
     @property
     def config(self) -> str:
-        return json.dumps({"base": self.base_url, "paths": self.paths})
+        return json.dumps({"base": self.base_url, "paths": self.paths, "packages": self.packages, "links": self.links})
 
 
 def components(path: str) -> list[str]:
@@ -128,6 +132,27 @@ def walk(folder: str) -> list[str]:
     return out
 
 
+def read_package(folder: str) -> dict:
+    """The fields of a folder's package.json that name files; a file that is missing or can't be read names nothing."""
+    try:
+        with open(os.path.join(folder, "package.json"), encoding="utf-8-sig") as file:
+            package = json.load(file)
+    except (OSError, ValueError):
+        return {}
+    return {k: package[k] for k in ("name", "main", "bin", "exports", "imports") if k in package} if isinstance(package, dict) else {}
+
+
+def linked_packages(folder: str) -> list[dict]:
+    """The packages that the node_modules of a folder link to elsewhere, as workspaces do."""
+    top, out = os.path.join(folder, "node_modules"), []
+    names = sorted(os.listdir(top)) if os.path.isdir(top) else []
+    names = [n for n in names if not n.startswith("@")] + [f"{n}/{m}" for n in names if n.startswith("@") and os.path.isdir(os.path.join(top, n)) for m in sorted(os.listdir(os.path.join(top, n)))]
+    for name in names:
+        if os.path.islink(os.path.join(top, name)) and os.path.isdir(real := os.path.realpath(os.path.join(top, name))):
+            out.append({"at": folder, "name": name, "real": real, "package": read_package(real)})
+    return out
+
+
 def load(path: str) -> Program:
     """The program that a tsconfig file, or the folder with one, includes."""
     tsconfig = locate_tsconfig(path)
@@ -142,4 +167,14 @@ def load(path: str) -> Program:
         found = known if prefix == root else [os.path.realpath(f) for f in walk(prefix)] if os.path.exists(prefix) else []
         files += [f for f in found if is_program_file(f) and not any(below(f, e) for e in excludes) and (prefix == root or below(f, prefix))]
     base = config.get("base")
-    return Program(root, tsconfig, sorted(set(files), key=components), base, {k: [os.path.normpath(os.path.join(base or config["paths_at"], t)) for t in v] for k, v in (config.get("paths") or {}).items()}, sorted({*known, *files}))
+    files = sorted(set(files), key=components)
+    folders = {os.path.dirname(f) for f in known if f.endswith("/package.json")}
+    around = {up for f in files for up in _up(os.path.dirname(f))}
+    packages = [{"at": f, "package": read_package(f)} for f in sorted(folders | {f for f in around if os.path.isfile(os.path.join(f, "package.json"))})]
+    links = [x for f in sorted(around) for x in linked_packages(f)]
+    paths = {k: [os.path.normpath(os.path.join(base or config["paths_at"], t)) for t in v] for k, v in (config.get("paths") or {}).items()}
+    return Program(root, tsconfig, files, base, paths, sorted({*known, *files}), packages, links)
+
+
+def _up(folder: str) -> list[str]:
+    return [folder] if os.path.dirname(folder) == folder else [folder, *_up(os.path.dirname(folder))]

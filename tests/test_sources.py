@@ -67,3 +67,48 @@ def test_command_line(tmp_path, capsys, monkeypatch):
         main(["--nonsense"])
     assert e.value.code == 2
     assert should_color("always") and not should_color("never") and not should_color("auto")
+
+
+def test_packages_resolve_by_links_names_and_conditions(tmp_path):
+    import json
+
+    from codefacts.sources.program import load
+    from codefacts.sources.resolve import candidates
+
+    def put(name, text):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text if isinstance(text, str) else json.dumps(text))
+
+    put("tsconfig.json", "{}")
+    put("package.json", {"name": "top", "imports": {"#util/*.js": "./util/*.ts", "#one": {"node": "./no.ts", "default": ["./util/one.ts"]}, "#out": "@w/lib/deep"}, "exports": {".": "./main.ts", "./sub": None}})
+    put("main.ts", "import '@w/lib';")
+    put("util/one.ts", "")
+    put("packages/lib/package.json", {"name": "@w/lib", "exports": {".": {"browser": "./b.js", "import": "./src/index.js"}, "./deep": "./src/deep.ts", "./x/*": ["./src/x/*.ts", "./src/y/*.ts"], "./x/private/*": None}})
+    for name in ("index", "deep", "x/a", "y/b"):
+        put(f"packages/lib/src/{name}.ts", "")
+    put("packages/old/package.json", {"main": "lib/start"})
+    put("packages/old/lib/start.ts", "")
+    put("packages/old/more.ts", "")
+    put("node_modules/real/index.ts", "")
+    (tmp_path / "node_modules/@w").mkdir()
+    (tmp_path / "node_modules/@w/lib").symlink_to(tmp_path / "packages/lib")
+    (tmp_path / "node_modules/old").symlink_to(tmp_path / "packages/old")
+    program = load(str(tmp_path))
+    root = program.root
+
+    def first(specifier, file="main.ts"):
+        found = next((c for c in candidates(f"{root}/{file}", specifier, program.config) if c in program.known), None)
+        return found and found[len(root) + 1 :]
+
+    assert first("@w/lib") == "packages/lib/src/index.ts"
+    assert first("@w/lib/deep", "util/one.ts") == "packages/lib/src/deep.ts"
+    assert first("@w/lib/x/a") == "packages/lib/src/x/a.ts" and first("@w/lib/x/b") == "packages/lib/src/y/b.ts"
+    assert first("@w/lib/x/private/a") is None and first("@w/lib/src/deep") is None
+    assert first("old") == "packages/old/lib/start.ts" and first("old/more") == "packages/old/more.ts"
+    assert first("#util/one.js") == "util/one.ts" and first("#one") == "util/one.ts" and first("#out") == "packages/lib/src/deep.ts" and first("#none") is None
+    assert first("top") == "main.ts" and first("top/sub") is None
+    # A package has its own scope: other names, and not those of the one around it.
+    assert first("#one", "packages/lib/src/index.ts") is None
+    assert first("@w/lib/deep", "packages/lib/src/index.ts") == "packages/lib/src/deep.ts"
+    assert first("real") is None
