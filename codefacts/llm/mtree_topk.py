@@ -2,20 +2,21 @@
 
 Inner products become a metric by one more component: with M2 the largest squared norm, x goes to
 (x, sqrt(M2 - |x|^2)) and a query to (q, 0), and the squared distance is |q|^2 + M2 - 2 q.x: the nearest
-has the largest product. Rows are dealt to their nearest pivot (PIVOTS at most, a bounded sample) and by
-hash to trees of about PAGE rows. A tree is a set of paged metric nodes: each entry stores its
+has the largest product. Rows are dealt to their nearest pivot (PIVOTS at most, a bounded sample) and, by their
+distance to it, to the pivot's rings (RINGS at most); a ring's rows make trees of about PAGE rows. A tree is a set of paged metric nodes: each entry stores its
 distance to the node's centre, an inner entry also its covering radius. A search takes nodes in order
 of their lower bounds; entries that the stored distances rule out by the triangle inequality are
 passed over without a distance being computed; products of the rest are exact integers.
 
-First each query searches the trees of its own pivot, then the trees of those pivots whose ball
-reaches the k-th product found so far. Queries are taken in blocks of BLOCK, so that a task holds one
-tree and one block whatever the number of either.
+First each query searches one tree, of the ring around its own pivot that is nearest; then all other trees whose
+pivot's ball and ring the k-th product found so far leaves possible. A tree goes to the blocks of queries (BLOCK each) that
+search it and to no others, so that a task holds one tree and one block whatever the number of either, and what is
+shuffled follows the searches that are left.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take
 no part; vectors of different lengths do not meet; rows with the query's own id are not its candidates;
 repeated query rows answer once, repeated candidates each take a rank; ties go to the smaller id; with
-fewer than k candidates all are returned. Squared norms beyond 2^52 are handled by plain integers without pruning;
+fewer than k candidates all are returned; an empty table gives an empty result; other columns take no part. Squared norms beyond 2^52 are handled by plain integers without pruning;
 scores beyond 64 bits are held at the largest or smallest of them.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from codefacts.llm.common import batched, saved
 
-PAGE, PIVOTS, BLOCK, LEAF, FAN_OUT = 4096, 1024, 4096, 192, 32
+PAGE, PIVOTS, RINGS, BLOCK, LEAF, FAN_OUT = 4096, 1024, 64, 4096, 192, 32
 EXACT = 1 << 52
 
 
@@ -66,6 +67,8 @@ class MTree:
         self.ids, self.v, self.m2 = ids[order], v[order], m2
         self.points = lifted(self.v, m2)
         self.nodes: list[tuple] = []
+        #: Distances and products computed by searches.
+        self.measured = 0
         self.centres: list[np.ndarray] = []
         self.root, self.radius = self._load(np.arange(len(ids)), self.points.mean(axis=0))
         self.centre = self.centres[self.root]
@@ -125,6 +128,7 @@ class MTree:
                 rows = entries[np.abs(away - apart) <= bound]
                 if not len(rows):
                     continue
+                self.measured += len(rows)
                 scores = self.v[rows].astype(object) @ q.astype(object) if wide else self.floats[rows] @ qf[:-1]
                 floor = best[0][0] if len(best) == k else least
                 if floor is not None:
@@ -141,6 +145,7 @@ class MTree:
             # Stored distances first; only what they leave is measured.
             left = np.flatnonzero(np.abs(away - apart) - radii <= bound)
             if len(left):
+                self.measured += len(left)
                 to = gaps(self.middles[entries[left]], qf)
                 low = np.maximum(0.0, to - radii[left])
                 for i in np.flatnonzero(low <= bound).tolist():
@@ -185,29 +190,38 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), batch.column("dim"), pa.array(group), pa.array(away)], names=["vec_id", "v", "dim", "grp", "away"])
 
     assigned = saved(rows.select("vec_id", "v", "dim").mapInArrow(dealt, "vec_id long, v array<long>, dim int, grp long, away double"), "assigned")
-    groups = assigned.groupBy("dim", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
+    cuts = F.percentile_approx("away", [(i + 1) / RINGS for i in range(RINGS - 1)], 1000)
+    groups = assigned.groupBy("dim", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), cuts.alias("cuts"))
     groups = saved(groups.withColumn("trees", F.ceil(F.col("n") / PAGE)), "groups")
-    #: Of lengths without a pivot nothing is known: such groups are searched whole, by their own queries only.
-    radii = {(r["dim"], r["grp"]): r["radius"] for r in groups.where(F.col("dim").isin(list(pivots))).collect()}  # PIVOTS at most
-    with_tree = assigned.join(groups.select("dim", "grp", "trees"), ["dim", "grp"]).withColumn("tree", F.pmod(F.xxhash64("vec_id"), F.col("trees")))
+    #: Of lengths without a pivot nothing is known: such groups have one ring and are searched whole, by their own queries only.
+    radii = {(r["dim"], r["grp"]): r["radius"] for r in groups.where(F.col("dim").isin(list(pivots))).select("dim", "grp", "radius").collect()}  # PIVOTS at most
+    # The ring by distance, as many as there are trees; a ring with several trees deals its rows by hash.
+    below = F.size(F.filter("cuts", lambda c: c < F.col("away")))
+    rings, ring = F.least(F.col("trees"), F.lit(RINGS)), F.floor(below * F.least(F.col("trees"), F.lit(RINGS)) / RINGS)
+    each_ring = F.ceil(F.col("trees") / rings)
+    with_tree = assigned.join(groups.select("dim", "grp", "trees", "cuts"), ["dim", "grp"]).withColumn("tree", ring * each_ring + F.pmod(F.xxhash64("vec_id"), each_ring))
 
     def build(key, group):
         d = key[0].as_py()
         tree = MTree(group.column("vec_id").to_numpy(), matrix(group.column("v"), d), m2)
-        return pa.table({"dim": [key[0].as_py()], "grp": [key[1].as_py()], "tree": [key[2].as_py()], "pages": [pickle.dumps(tree, 5)]}, schema=pa.schema([("dim", pa.int32()), ("grp", pa.int64()), ("tree", pa.int64()), ("pages", pa.binary())]))
+        away = group.column("away").to_numpy()
+        row = {"dim": d, "grp": key[1].as_py(), "tree": key[2].as_py(), "least_away": float(away.min()), "most_away": float(away.max()), "pages": pickle.dumps(tree, 5)}
+        return pa.Table.from_pylist([row], schema=pa.schema([("dim", pa.int32()), ("grp", pa.int64()), ("tree", pa.int64()), ("least_away", pa.float64()), ("most_away", pa.float64()), ("pages", pa.binary())]))
 
-    trees = saved(with_tree.select("dim", "grp", "tree", "vec_id", "v").groupBy("dim", "grp", "tree").applyInArrow(build, "dim int, grp long, tree long, pages binary"), "trees")
+    trees = saved(with_tree.select("dim", "grp", "tree", "vec_id", "v", "away").groupBy("dim", "grp", "tree").applyInArrow(build, "dim int, grp long, tree long, least_away double, most_away double, pages binary"), "trees")
+    placed = trees.drop("pages")
     asked = saved(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().withColumn("dim", F.size("q")), "queries")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
 
     def own(batches):
         for batch in batches:
-            dims, group = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int64)
+            dims, group, away = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                group[at] = nearest(d, matrix(batch.column("q").take(pa.array(at)), d), True)[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group)], names=[*batch.schema.names, "grp"])
+                g, all_d = nearest(d, matrix(batch.column("q").take(pa.array(at)), d), True)
+                group[at] = g
+                if all_d.shape[1]:
+                    away[at] = all_d[np.arange(len(at)), g]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(away)], names=[*batch.schema.names, "grp", "away"])
 
     def search(key, left, right):
         found = []
@@ -218,39 +232,54 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
     def searched(pairs: DataFrame) -> DataFrame:
-        """pairs: query_id, q, block, dim, grp, least. Every tree of the group is searched."""
-        each = pairs.join(groups.select("dim", "grp", "trees"), ["dim", "grp"]).withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1))).drop("trees")
-        paged = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        """pairs: query_id, q, block, dim, grp, tree, least."""
         keys = ("dim", "grp", "tree", "block")
-        hits = paged.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
+        needed = pairs.select(*keys).distinct()
+        paged = needed.join(trees.select("dim", "grp", "tree", "pages"), ["dim", "grp", "tree"]).select(*keys, "pages")
+        # New column identities: both sides come from one table.
+        paged = paged.toDF(*paged.columns)
+        hits = paged.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
         return best(hits)
 
     def best(hits: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    homed = asked.mapInArrow(own, "query_id long, q array<long>, dim int, block long, grp long")
-    first = saved(searched(homed.withColumn("least", F.lit(None).cast("long"))).drop("rank"), "first")
+    homed = saved(asked.mapInArrow(own, "query_id long, q array<long>, dim int, grp long, away double"), "homed")
+    # A block holds queries of one pivot: they search much the same trees.
+    parts = homed.groupBy("dim", "grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    homed = saved(homed.join(parts, ["dim", "grp"]).withColumn("block", F.col("grp") * (1 << 32) + F.pmod(F.xxhash64("query_id"), F.col("parts"))).drop("parts"), "blocks")
+    gap = F.greatest(F.col("least_away") - F.col("away"), F.col("away") - F.col("most_away"), F.lit(0.0))
+    home = homed.join(placed, ["dim", "grp"]).groupBy("query_id", "q", "dim", "block", "grp").agg(F.min_by("tree", F.struct(gap.alias("gap"), "tree")).alias("tree"))
+    home = saved(home.withColumn("least", F.lit(None).cast("long")), "home")
+    first = saved(searched(home).drop("rank"), "first")
     kth = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id", "least")
 
     def others(batches):
         for batch in batches:
             out = []
-            for d in {x for x in batch.column("dim").to_pylist() if x in pivots}:
+            for d in set(batch.column("dim").to_pylist()):
                 at = np.flatnonzero(batch.column("dim").to_numpy() == d)
+                if d not in pivots:
+                    out += [(int(i), 0, 0.0, math.inf) for i in at]
+                    continue
                 part = batch.take(pa.array(at))
                 q = matrix(part.column("q"), d)
-                home, away = nearest(d, q, True)
+                _, away = nearest(d, q, True)
                 q2 = (q.astype(np.float64) ** 2).sum(axis=1)
                 least = [None if m2 >= EXACT else x for x in part.column("least").to_pylist()]
                 reach = np.array([math.inf if x is None else math.sqrt(max(0.0, a + m2 - 2 * x)) * (1 + 1e-9) + 1e-6 * (1 + math.sqrt(m2)) for x, a in zip(least, q2.tolist())])
                 for g in range(away.shape[1]):
                     if (d, g) in radii:
-                        out += [(int(i), g) for i in at[(home != g) & (away[:, g] - radii[d, g] <= reach)]]
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array([i for i, _ in out], pa.int64())).columns, pa.array([g for _, g in out], pa.int64())], names=[*batch.schema.names, "grp"])
-
-    rest = asked.join(kth, "query_id", "left").select("query_id", "q", "dim", "block", "least")
-    rest = rest.mapInArrow(others, "query_id long, q array<long>, dim int, block long, least long, grp long")
+                        out += [(int(at[i]), g, float(away[i, g]), float(reach[i])) for i in np.flatnonzero(away[:, g] - radii[d, g] <= reach)]
+            index, *more = ([o[c] for o in out] for c in range(4))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(index, pa.int64())).columns, *(pa.array(c, t) for c, t in zip(more, (pa.int64(), pa.float64(), pa.float64())))], names=[*batch.schema.names, "grp", "away", "reach"])
+
+    rest = homed.join(kth, "query_id", "left").select("query_id", "q", "dim", "block", "least")
+    rest = rest.mapInArrow(others, "query_id long, q array<long>, dim int, block long, least long, grp long, away double, reach double")
+    # Of the groups that remain, the trees whose ring remains and that were not searched before.
+    rest = rest.join(placed, ["dim", "grp"]).where(gap <= F.col("reach") * (1 + 1e-9) + 1e-6)
+    rest = saved(rest.join(home.select("query_id", "q", "dim", "grp", "tree"), ["query_id", "q", "dim", "grp", "tree"], "left_anti").select("query_id", "q", "dim", "block", "least", "grp", "tree"), "rest")
     second = searched(rest).drop("rank")
     return best(first.unionByName(second)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

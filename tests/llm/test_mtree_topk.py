@@ -53,3 +53,33 @@ def test_the_tree_is_exact_and_prunes():
         scores = v @ v[i]
         best = sorted((-int(s), j) for j, s in enumerate(scores) if j != i)[:5]
         assert sorted((-s, j) for s, j in tree.search(i, v[i], 5, None)) == best
+    # Far fewer distances than a scan takes.
+    assert tree.measured < 0.3 * 20 * len(v)
+
+
+def test_shuffled_pages_follow_the_searches(vectors, monkeypatch):
+    """A tree goes to the blocks of queries that search it and to no others."""
+    monkeypatch.setattr(mt, "PAGE", 100)
+    monkeypatch.setattr(mt, "BLOCK", 8)
+    monkeypatch.setattr(mt, "PIVOTS", 24)
+    sent = []
+    rows = clustered(3000, 4, 6)
+    docs = vectors(rows)
+    own = mt.quantised(docs, "vec_id", "embedding", 256)
+    saved = mt.saved
+
+    def counted(df, name, **options):
+        out = saved(df, name, **options)
+        if name in ("home", "rest"):
+            sent.append(out.select("dim", "grp", "tree", "block").distinct().count())
+        if name == "trees":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(mt, "saved", counted)
+    queries = own.where("vec_id % 25 = 0")
+    assert sorted(map(tuple, mt.topk(own, queries).collect())) == brute(rows, every=25)
+    trees, home, rest = sent
+    blocks = -(-120 // 8)
+    # Clusters far from a query are never opened: well under every tree for every block.
+    assert home <= 120 and home + rest < 0.7 * trees * blocks
