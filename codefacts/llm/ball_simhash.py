@@ -38,6 +38,8 @@ from codefacts.llm.common import arrow_batches, mapped, saved
 SEED, WORDS, RADIUS = 42, 4, 4
 #: Fingerprints that a bucket should hold of its own, and the most leading bits.
 BUCKET, MOST_BITS = 64, 20
+#: Links that one task unites: 16 bytes each.
+IN_TASK = 1 << 20
 #: A bucket is split when it receives so many times the mean.
 HOT = 8
 
@@ -141,7 +143,7 @@ def forest(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
         if np.array_equal(root, before):
             linked = np.flatnonzero(root != np.arange(len(fps)))
-            return np.stack([fps[linked], fps[root[linked]]], axis=1) if len(linked) else np.empty((0, 2), np.uint64)
+            return np.stack([fps[linked], fps[root[linked]]], axis=1) if len(linked) else np.empty((0, 2), fps.dtype)
 
 
 def hot_limit(n: int, bits: int) -> int:
@@ -181,8 +183,21 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node) of every linked node, by alternating large-star and small-star contractions."""
+    """node, root (the smallest node) of every linked node but the roots. edges: a, b (whole numbers).
+
+    Up to IN_TASK distinct links are united inside one task; more go round by round, by alternating large-star and
+    small-star contractions.
+    """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = saved(edges, "links")
+    if edges.count() <= IN_TASK:
+
+        def unite(key: tuple, group: pa.Table) -> pa.Table:
+            nodes, at = np.unique(np.concatenate([group.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+            found = forest(nodes, at[: len(group)], at[len(group) :])
+            return pa.table({"node": found[:, 0], "root": found[:, 1]})
+
+        return edges.groupBy(F.lit(0).alias("all")).applyInArrow(unite, "node long, root long")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from codefacts.llm import ball_simhash as bs
@@ -86,7 +87,9 @@ def test_links_of_dense_balls(spark, monkeypatch):
         assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("in_task", [1, bs.IN_TASK])
+def test_components_of_long_chains(spark, monkeypatch, in_task):
+    monkeypatch.setattr(bs, "IN_TASK", in_task)
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 50)] + [(5, 5)]
     found = {r.node: r.root for r in bs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 50)}
