@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by hierarchical residuals.
 
-Each input partition packs its own pieces, largest first, each into the open bin with the smallest
+Pieces are dealt to partitions in turn, so that each one sees the whole mix of lengths. A partition packs its
+own pieces, largest first, each into the open bin with the smallest
 residual that holds it. Bins too full for any piece of the whole table are emitted. The underfull
 ones go up a tree as items: FAN_IN nodes merge into one, which packs the bins of its children into
 each other by best fit again, until one node is left. A node passes CARRY underfull bins upward at
-most, those with the most room, and emits the rest as they are; so no task holds more than
-FAN_IN * CARRY bins, whatever the input.
+most, those with the most room, so that no task holds more than FAN_IN * CARRY bins, whatever the input. Where
+bins were passed over, a last round packs all underfull ones by their fills: bins of one fill are alike, so that a
+count for each fill (LENGTH at most) is all that best fit needs; each bin then finds its sequence by its rank in its fill.
 
 Only ids, lengths and checksums move between tasks, never texts or tokens; each round is written to
 the shared folder, so that a lost executor repeats one round's part at most.
@@ -17,7 +19,7 @@ white space) go through the library itself.
 
 Defined cases: null and empty texts are one piece of length 1 (the end token); texts of any length
 are cut; null ids keep their rows; repeated rows are packed each; an empty table gives an empty
-result.
+result; other columns take no part.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.llm.common import arrow_schema, batched, saved
 
 #: Length of a sequence, children of a tree node, underfull bins that a node passes upward at most.
 LENGTH, FAN_IN, CARRY = 2048, 16, 256
+#: Pieces of a partition.
+PART = 50_000
 
 #: The pre-tokens of byte-level BPE: a fixed value of the tokenizer file's format.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -131,24 +135,39 @@ def emit(bins: list[list], fills: list[int], node: int, least: int, length: int)
         yield node, fills[i], k < CARRY and length - fills[i] >= least, bins[i]
 
 
-def local(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
-    """Each partition's bins; all that have room are open."""
-    out = BIN.format(id=docs.schema[0].dataType.simpleString())
+PIECE = "doc_id {id}, piece int, start long, length int, crc long"
+
+
+def cut(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
+    """Every text's pieces."""
+    out = PIECE.format(id=docs.schema[0].dataType.simpleString())
     schema = arrow_schema(docs.sparkSession, out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(tokenizer)
+        for batch in batches:
+            found = [(doc, *p) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in pieces(tokens.ids(text or "") + b"\0\0\0\0", length)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    return docs.mapInArrow(run, out)
+
+
+def local(cut_: DataFrame, length: int) -> DataFrame:
+    """Each partition's bins; all that have room are open."""
+    out = BIN.format(id=cut_.schema[0].dataType.simpleString())
+    schema = arrow_schema(cut_.sparkSession, out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, found = Tokens(tokenizer), []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found += [(doc, *p) for p in pieces(tokens.ids(text or "") + b"\0\0\0\0", length)]
+        found = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if found:
             placed = best_fit([p[3] for p in found], length)
             node = TaskContext.get().partitionId()
             yield from packed_rows(emit([[found[i] for i in b] for b in placed], [sum(found[i][3] for i in b) for b in placed], node, 1, length), schema)
 
-    return docs.mapInArrow(run, out)
+    return cut_.mapInArrow(run, out)
 
 
 def packed_rows(rows: Iterable[tuple[int, int, bool, list]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -160,6 +179,70 @@ def packed_rows(rows: Iterable[tuple[int, int, bool, list]], schema: pa.Schema)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((node, fill, is_open, members), schema, strict=True)], schema=schema)
 
 
+def best_fit_counts(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
+    """(fills, number of such bins): what best fit makes of so many items of each size, largest first.
+
+    Items of one size are placed together: the bin that takes one is the fullest that holds the next one too.
+    """
+    rooms: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    used, full = 0, []
+
+    def keep(fills: tuple[int, ...], many: int, room: int) -> None:
+        nonlocal used
+        if not room:
+            full.append((fills, many))
+        elif many:
+            rooms[room].append((fills, many))
+            used |= 1 << room
+
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            if fits := used >> n:
+                room = n + (fits & -fits).bit_length() - 1
+                fills, many = rooms[room].pop()
+                if not rooms[room]:
+                    used ^= 1 << room
+            else:
+                room, fills, many = length, (), left
+            each = room // n
+            whole = min(many, left // each)
+            if whole:
+                keep(fills + (n,) * each, whole, room - each * n)
+            left, many = left - whole * each, many - whole
+            if many and left < each and left:
+                keep(fills + (n,) * left, 1, room - left * n)
+                left, many = 0, many - 1
+            if many and fills:
+                keep(fills, many, room)
+    return full + [g for groups in rooms.values() for g in groups]
+
+
+def by_counts(bins: DataFrame, length: int) -> DataFrame:
+    """Bins packed into each other by best fit over their fills, however many they are."""
+    spark = bins.sparkSession
+    counts = {r["fill"]: r["n"] for r in bins.groupBy("fill").agg(F.count(F.lit(1)).alias("n")).collect()}  # length rows at most
+    ranges, ranks, base = [], dict.fromkeys(counts, 0), 0
+    for fills, many in best_fit_counts(counts, length):
+        for at, fill in enumerate(fills):
+            ranges.append((fill, ranks[fill], base, at))
+            ranks[fill] += many
+        base += many
+    places = spark.createDataFrame(ranges, "fill int, from_rank long, base long, at int")
+    places = places.groupBy("fill").agg(F.sort_array(F.collect_list(F.struct("from_rank", "base", "at")), asc=False).alias("ranges"))
+    # A bin's rank in its fill: ranks inside a partition, behind the bins of partitions before.
+    marked = saved(bins.withColumn("mark", F.monotonically_increasing_id()).withColumn("part", F.call_function("shiftright", F.col("mark"), F.lit(33))), "marked")
+    sizes = marked.groupBy("fill", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("fill", "part", (F.sum("n").over(Window.partitionBy("fill").orderBy("part")) - F.col("n")).alias("before"))
+    ranked = marked.withColumn("inside", F.row_number().over(Window.partitionBy("fill", "part").orderBy("mark")) - 1)
+    ranked = ranked.join(before, ["fill", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+    place = F.element_at(F.filter("ranges", lambda x: x["from_rank"] <= F.col("rank")), 1)
+    placed = ranked.join(F.broadcast(places), "fill").withColumn("place", place)
+    placed = placed.select((F.col("place.base") + F.col("rank") - F.col("place.from_rank")).alias("sequence"), F.col("place.at").alias("at"), "fill", "members")
+    packed = placed.groupBy("sequence").agg(F.sum("fill").cast("int").alias("fill"), F.array_sort(F.collect_list(F.struct("at", "members"))).alias("parts"))
+    return packed.select(F.lit(0).cast("long").alias("node"), "fill", F.lit(False).alias("open"), F.flatten(F.transform("parts", lambda p: p["members"])).alias("members"))
+
+
 def merged(bins: DataFrame, least: int, length: int) -> DataFrame:
     """The bins of each group of FAN_IN nodes packed into each other."""
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bins.schema)
@@ -177,7 +260,8 @@ def merged(bins: DataFrame, least: int, length: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece. tokenizer: a local file that every executor has."""
     batched(docs.sparkSession)
-    bins = saved(local(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer, length), "bins")
+    pieces_ = saved(cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer, length), "pieces")
+    bins = saved(local(pieces_.repartition(max(1, -(-pieces_.count() // PART))), length), "bins")
     least = bins.select(F.explode("members").alias("m")).agg(F.min("m.length")).first()[0] or 1
     done, waiting = [], bins
     nodes = (waiting.agg(F.max("node")).first()[0] or 0) + 1
@@ -192,6 +276,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
     rows = done[0]
     for df in done[1:]:
         rows = rows.unionByName(df)
+    underfull = F.lit(length) - F.col("fill") >= least
+    if not rows.where(underfull & ~F.col("open")).isEmpty():
+        rows = rows.where(~underfull).unionByName(saved(by_counts(rows.where(underfull), length), "packed"))
     # A bin is known by its first member: a document's piece lies in one bin.
     rows = rows.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
     before = lambda i: F.aggregate(F.slice("members", 1, i), F.lit(0).cast("long"), lambda a, m: a + m["length"])

@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -58,3 +60,37 @@ def test_best_fit():
     assert rp.best_fit([5, 5, 3, 7], 10) in ([[3, 2], [0, 1]], [[3, 2], [1, 0]])
     assert rp.best_fit([], 10) == []
     assert sorted(map(len, rp.best_fit([10] * 3 + [1] * 20, 10))) == [1, 1, 1, 10, 10]
+
+
+def test_best_fit_by_counts_makes_as_many_bins():
+    rng = random.Random(4)
+    for _ in range(60):
+        most = rng.choice([3, 10, 50])
+        items = [rng.randint(1, most) for _ in range(rng.randint(1, 300))]
+        counted = rp.best_fit_counts(Counter(items), 50)
+        assert all(sum(fills) <= 50 and many > 0 for fills, many in counted)
+        placed = Counter()
+        for fills, many in counted:
+            for f in fills:
+                placed[f] += many
+        assert placed == Counter(items)
+        one_by_one = Counter(tuple(sorted(items[i] for i in b)) for b in rp.best_fit(items, 50))
+        by_counts = Counter()
+        for fills, many in counted:
+            by_counts[tuple(sorted(fills))] += many
+        assert sum(by_counts.values()) == sum(one_by_one.values())
+
+
+def test_bins_that_were_passed_over_are_packed(frame, library, monkeypatch):
+    """Partitions of one length each, more bins than a node carries, and a short text that keeps them all underfull."""
+    monkeypatch.setattr(rp, "CARRY", 2)
+    monkeypatch.setattr(rp, "PART", 8)
+    monkeypatch.setattr(rp, "FAN_IN", 2)
+    rows = [(i, " the" * (130 if i < 40 else 110)) for i in range(80)] + [(200, ""), (None, " the" * 110), (None, " the" * 110)]
+    found = rp.pack(frame(rows).repartitionByRange(10, "doc_id"), PATH, 256).collect()
+    n = checked(found, rows, library, 256)
+    fills = Counter()
+    for r in found:
+        fills[r.sequence_id] += r.length
+    # No two sequences are left that fit one another, whichever nodes they came from.
+    assert len(rp.best_fit(list(fills.values()), 256)) == n <= 50
