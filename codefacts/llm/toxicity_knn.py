@@ -1,7 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their prefixes of four and five letters (inflections of a stem share them). All
-terms of the labelled examples are indexed: an example or a text is its TF-IDF vector over them. Terms whose presence
+terms of the labelled examples are indexed: an example or a text is its TF-IDF vector over them. Common terms, those with the
+least IDF, which more than COMMON of the examples have, are left out of all vectors; a text that has no others is compared
+by them. Terms whose presence
 depends on the label (likelihood-ratio statistic G2 above what chance gives one of so many terms) weigh 1 / PLAIN
 times as much as the others, which decide between examples that have the same of these or none. The index
 holds each term's postings over the examples in blocks, with the largest value in each block. A search
@@ -36,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import batched, mapped, saved, text_of
+from codefacts.llm.common import mapped, saved, text_of
 
 #: Labelled rows that are fitted at most; neighbours; examples in a block.
 EXAMPLES, K, BLOCK = 4000, 15, 128
+#: Share of the examples beyond which a term is common.
+COMMON = 0.05
 #: What a term that does not depend on the label weighs against one that does.
 PLAIN = 0.03
 THRESHOLD = 0.3
@@ -73,14 +77,15 @@ def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Postings of labelled examples by term, in blocks with their largest values.
 
-    terms, weights: of each term. term, example, count: one of each posting. A text's vector has
+    terms, weights, common: of each term. term, example, count: one of each posting. A text's vector has
     (1 + log count) * weight for each of its terms that some example has.
     """
 
-    def __init__(self, terms: list[str], weights: np.ndarray, term: np.ndarray, example: np.ndarray, count: np.ndarray, labels: np.ndarray, ids: list) -> None:
-        self.terms, self.weights, n = terms, weights, len(ids)
+    def __init__(self, terms: list[str], weights: np.ndarray, common: np.ndarray, term: np.ndarray, example: np.ndarray, count: np.ndarray, labels: np.ndarray, ids: list) -> None:
+        self.terms, self.weights, self.common, n = terms, weights, common, len(ids)
         value = (1 + np.log(count)) * weights[term]
-        norm = np.sqrt(np.bincount(example, value * value, n))
+        square = value * value
+        norms = np.sqrt(np.stack([np.bincount(example, square * ~common[term], n), np.bincount(example, square, n)]))
         # Examples with the same heaviest term lie together, so that few blocks hold a term's large values.
         heaviest = np.full(n, -1)
         by_value = np.argsort(value, kind="stable")
@@ -88,26 +93,29 @@ class Index:
         order = np.argsort(heaviest, kind="stable")
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        self.labels, self.ids, self.norm = labels[order], [ids[i] for i in order], norm[order]
+        self.labels, self.ids, self.norms = labels[order], [ids[i] for i in order], norms[:, order]
         self.blocks = -(-n // BLOCK)
         at = place[example]
         by_term = np.lexsort((at, term))
         term, at, count = term[by_term], at[by_term], count[by_term]
-        self.at, self.count = at.astype(np.uint32), count.astype(np.uint32)
+        self.at, self.count, self.whole = at.astype(np.uint32), count.astype(np.uint32), common[term]
         # Blocks of postings: their first posting, block and largest value.
         block = at // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         self.first = np.append(first, len(term)).astype(np.uint32)
         self.block = block[first].astype(np.uint16)
-        largest = np.maximum.reduceat((1 + np.log(count)) / self.norm[at], first) if len(first) else np.zeros(0)
+        largest = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.largest = np.nextafter(largest.astype(np.float32), np.float32(np.inf))
         self.of_term = np.searchsorted(term[first], np.arange(len(terms) + 1)).astype(np.uint32)
         self.opened, self.curve, self.empty = 0, np.array([-2.0, 4.0, 0.0]), 0.0
 
     @cached_property
     def value(self) -> np.ndarray:
-        """A posting's share in its example's vector but for the term's weight; made where it is needed."""
-        return (1 + np.log(self.count)) / self.norm[self.at]
+        """A posting's share in its example's vector but for the term's weight; made where it is needed.
+
+        The vector is the one that a text with such a term is compared with: without common terms, or with all.
+        """
+        return (1 + np.log(self.count)) / self.norms[self.whole.astype(np.int8), self.at]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "value"}
@@ -115,7 +123,10 @@ class Index:
     def unit(self, tf: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and values of a text's vector, of length 1."""
         t = np.fromiter(tf, np.int64, len(tf))
-        v = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf)))) * self.weights[t]
+        n = np.fromiter(tf.values(), np.float64, len(tf))
+        if not (common := self.common[t]).all():
+            t, n = t[~common], n[~common]
+        v = (1 + np.log(n)) * self.weights[t]
         return t, v / max(1e-300, math.sqrt(float(v @ v)))
 
     def nearest(self, q: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> list[tuple[float, int]]:
@@ -140,7 +151,7 @@ class Index:
             open_ = np.flatnonzero(wanted[blocks])
             posting, own = spread(self.first[entry[open_]].astype(np.int64), self.first[entry[open_] + 1].astype(np.int64))
             at = self.at[posting]
-            sums = np.bincount(at, v[of[open_]][own] * self.value[posting], len(self.norm))
+            sums = np.bincount(at, v[of[open_]][own] * self.value[posting], len(self.labels))
             if but >= 0:
                 sums[but] = 0
             found = np.flatnonzero(sums > 0)
@@ -269,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | Constant:
 
 
 def built(terms: pa.ListArray, counts: pa.ListArray, toxic: np.ndarray, ids: list) -> Index:
-    """The index of all terms of the examples; what depends on the label weighs more."""
+    """The index of the examples' terms; what depends on the label weighs more."""
     n, positive = len(ids), toxic.sum()
     words = pc.unique(terms.flatten()).sort()
     term = pc.index_in(terms.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -282,7 +293,8 @@ def built(terms: pa.ListArray, counts: pa.ListArray, toxic: np.ndarray, ids: lis
     # Twice the logarithm of the number of terms tested: under one of them is expected above it by chance.
     telling = (df > 2) & (g2 >= 2 * math.log(max(2, int((df > 2).sum()))))
     weights = (np.log((1 + n) / (1 + df)) + 1) * np.where(telling, 1.0, PLAIN)
-    return Index(words.to_pylist(), weights, term, example, count, toxic, ids)
+    common = ~telling & (df > max(2.0, COMMON * n))
+    return Index(words.to_pylist(), weights, common, term, example, count, toxic, ids)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -303,7 +315,6 @@ def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns as they were."""
-    batched(docs.sparkSession)
     index = fit(docs, labels)
 
     @F.pandas_udf("double")
