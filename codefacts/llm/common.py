@@ -1,9 +1,7 @@
-"""What the corpus operators share: tables, the shared folder, the Arrow batch size."""
+"""What the corpus operators share: tables, the shared folder, Arrow batches, Bloom filters."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch sent to Python: texts may be long, and a worker holds a batch at a time.
+from codefacts.storage import saved, shared_dir
+
+#: Rows of an Arrow batch that are Python objects at a time: texts may be long.
 BATCH_ROWS = 512
 
 
@@ -20,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in local
-    tests, a temporary one is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codefacts-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The frame written to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Words of a Bloom filter: a broadcast table of 2 MB.
 FILTER = 1 << 17
 
@@ -79,10 +59,11 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def batched(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session's Python stages."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (Spark bounds their bytes) in parts of so many rows: no more become Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def mapped(df: DataFrame, make: Callable[[], Callable[[list, list], list[list]]], schema: str, kept: pa.DataType | None = None) -> DataFrame:
@@ -91,17 +72,15 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[list, list], list[list]]]
     ``make()`` runs once in a task and returns the function; the function returns the columns that
     follow the id. Null texts arrive as ''.
     """
-    batched(df.sparkSession)
     id_name = df.columns[0]
     out = arrow_schema(df.sparkSession, f"`{id_name}` {df.schema[0].dataType.simpleString()}, {schema}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                columns = work(batch.column(0).to_pylist(), texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=f.type) for c, f in zip(columns, list(out)[1:], strict=True))], schema=out)
+        for batch in sliced(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            columns = work(batch.column(0).to_pylist(), texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=f.type) for c, f in zip(columns, list(out)[1:], strict=True))], schema=out)
 
     return df.mapInArrow(run, f"`{id_name}` {df.schema[0].dataType.simpleString()}, {schema}")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import batched, saved
+from codefacts.llm.common import saved, sliced
 
 PAGE, PIVOTS, RINGS, BLOCK, LEAF, FAN_OUT = 4096, 1024, 64, 4096, 192, 32
 EXACT = 1 << 52
@@ -156,7 +156,6 @@ class MTree:
 def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score. rows, queries: vec_id and v of whole numbers."""
     spark = rows.sparkSession
-    batched(spark, 4096)
     rows = saved(rows.withColumn("dim", F.size("v")), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, m2 = rows.agg(F.count(F.lit(1)), F.max(square)).first()
@@ -179,7 +178,7 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return d2.argmin(axis=1), np.sqrt(np.maximum(d2, 0.0))
 
     def dealt(batches):
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             dims, group, away = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
@@ -213,7 +212,7 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = saved(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().withColumn("dim", F.size("q")), "queries")
 
     def own(batches):
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             dims, group, away = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
@@ -256,7 +255,7 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     kth = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id", "least")
 
     def others(batches):
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             out = []
             for d in set(batch.column("dim").to_pylist()):
                 at = np.flatnonzero(batch.column("dim").to_numpy() == d)

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import arrow_schema, batched, saved
+from codefacts.llm.common import arrow_schema, saved, sliced
 
 #: Length of a sequence, children of a tree node, underfull bins that a node passes upward at most.
 LENGTH, FAN_IN, CARRY = 2048, 16, 256
@@ -145,7 +145,7 @@ def cut(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [(doc, *p) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in pieces(tokens.ids(text or "") + b"\0\0\0\0", length)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
@@ -259,7 +259,6 @@ def merged(bins: DataFrame, least: int, length: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece. tokenizer: a local file that every executor has."""
-    batched(docs.sparkSession)
     pieces_ = saved(cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer, length), "pieces")
     bins = saved(local(pieces_.repartition(max(1, -(-pieces_.count() // PART))), length), "bins")
     least = bins.select(F.explode("members").alias("m")).agg(F.min("m.length")).first()[0] or 1

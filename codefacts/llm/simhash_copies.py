@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.ball_simhash import SEED, components, emitted, flips, hot_limit
-from codefacts.llm.common import arrow_batches, bloom, mapped, maybe_in, saved, text_of
+from codefacts.llm.common import arrow_batches, bloom, mapped, maybe_in, saved, sliced, text_of
 
 WORDS = 5
 #: Similarity from which a pair is linked: LEAST / OF.
@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     known.popitem(last=False)
             return known[node]
 
-        for batch in batches:
+        for batch in sliced(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([similar(of(a, ta), of(b, tb)) for a, b, ta, tb in rows], pa.bool_()))
 

@@ -4,7 +4,8 @@ An archive begins with a skippable frame that holds its dictionary, followed by
 record. The reader loads the dictionary from that frame (also if it is compressed itself, and
 archives without one), finds each frame's end from its block headers, decodes one frame at a time, and
 checks what it reads: the record's version line, its mandatory headers, the length of the block, the
-digest of the payload. ``WarcError`` names the archive and the byte.
+digest of the payload, and the number of records that an archive's name tells. The dictionary is trained on the first 8 KB of an
+archive's first SAMPLES payloads; records are whole. ``WarcError`` names the archive and the byte.
 
 Writing is deterministic: rows are dealt and sorted by id, an archive's name comes from its partition
 and number, and a file appears under its name only when complete. A task that runs twice, or
@@ -16,7 +17,7 @@ ids and digests are; the html moves once, by page_id.
 
 Defined cases: null html is an empty payload; a null url gives a URI made from the id; rows without an
 id are responses that nothing refers to; rows with equal ids and payloads are written each, as
-responses where that id is the largest; an empty table gives an empty folder and an empty result.
+responses where that id is the largest, and share a record id (rows of one id and different payloads do not); an empty table gives an empty folder and an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 from collections.abc import Iterator
 
@@ -32,12 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import arrow_schema, batched, saved, shared_dir
+from codefacts.llm.common import arrow_schema, saved, sliced, shared_dir
 
 #: Fixed values of the formats: the magic numbers of a dictionary's skippable frame, a frame, a dictionary.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 #: Uncompressed bytes after which an archive ends, bytes of its dictionary, payloads that it is trained on.
 ARCHIVE, DICT_BYTES, SAMPLES = 16 << 20, 16 << 10, 200
+#: How an archive's name tells its number of records.
+COUNT = re.compile(r"\.r([0-9]+)\.warc\.zst$")
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -53,18 +57,24 @@ def uri(page_id: int | None) -> str:
     return f"urn:page:{'' if page_id is None else page_id}"
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """Names a record by its id and payload: rows of one id have records of their own unless their payloads are equal too."""
+    return f"<{uri(page_id)}:{digest}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """The bytes of one record: a response with its HTTP block, or a revisit with the HTTP head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    digest = b32sha1(payload)
     block = http if refers_to is not None else http + payload
     target = "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode()) for c in url) if url else uri(page_id)
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<{uri(page_id)}>"),
+        ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", target),
-        ("WARC-Payload-Digest", f"sha1:{b32sha1(payload)}"),
-        *([("WARC-Refers-To", f"<{uri(refers_to)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")] if refers_to is not None else []),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        *([("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")] if refers_to is not None else []),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
@@ -161,7 +171,7 @@ def page(headers: dict[str, str], block: bytes) -> tuple:
     if not sep or not lengths:
         raise WarcError("no HTTP head with a Content-Length")
     kind, digest = headers["warc-type"], headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    of = lambda name: int(x) if (x := headers[name].strip("<>").rpartition(":")[2]) else None
+    of = lambda name: int(x) if (x := headers[name].strip("<>").split(":")[2]) else None
     if kind == "response":
         if len(payload) != lengths[0] or b32sha1(payload) != digest:
             raise WarcError("the payload is not as long as stated or has another digest")
@@ -176,7 +186,6 @@ def write(pages: DataFrame, path: str) -> DataFrame:
 
     path: a folder that every executor can write, of a file system that Arrow knows (file, hdfs, s3, gs).
     """
-    batched(pages.sparkSession, 256)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     keys = rows.select("page_id", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)).alias("key"))
     largest = keys.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -199,7 +208,7 @@ def write(pages: DataFrame, path: str) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held, size
-            name = f"part-{part:06d}-{number:05d}.warc.zst"
+            name = f"part-{part:06d}-{number:05d}.r{len(held)}.warc.zst"
             data = archive([r for r, _ in held], trained([p for _, p in held[:SAMPLES]]))
             with store.open_output_stream(f"{folder}/.{name}.{attempt}") as f:
                 f.write(data)
@@ -208,7 +217,7 @@ def write(pages: DataFrame, path: str) -> DataFrame:
             number, held, size = number + 1, [], 0
             return done
 
-        for batch in batches:
+        for batch in sliced(batches):
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = html.encode()
                 held.append((record(page_id, url, payload, refers_to), payload))
@@ -226,7 +235,6 @@ READ = "page_id long, url string, payload binary, payload_bytes long, payload_di
 
 def read(spark, path: str) -> DataFrame:
     """The checked records of all archives in a folder, by Spark's own reader of binary files."""
-    batched(spark, 16)
     schema = arrow_schema(spark, READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +242,15 @@ def read(spark, path: str) -> DataFrame:
             for batch in batches:
                 for i in range(batch.num_rows):
                     name, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                    at = 0
+                    at = count = 0
                     try:
                         for at, one in frames(data):
                             yield page(*parsed(one))
+                            count += 1
                     except WarcError as e:
                         raise WarcError(f"{name}, record at byte {at}: {e}") from e
+                    if (told := COUNT.search(name)) and int(told[1]) != count:
+                        raise WarcError(f"{name}: {count} records, not {told[1]}")
 
         held, size = [], 0
         for r in rows():
@@ -260,11 +271,19 @@ def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write, check that the archives hold as many records as were written, and read."""
+    """Write, check that the archives there are as many records as were written, and read.
+
+    An archive's name tells how many records it holds; the reader holds each archive against its name.
+    """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
-    if not write(pages, path).agg(F.sum("records")).first()[0]:
+    written = write(pages, path).agg(F.sum("records")).first()[0]
+    if not written:
         return spark.createDataFrame([], READ)
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    there = names.agg(F.sum(F.regexp_extract("path", COUNT.pattern, 1).cast("long"))).first()[0]
+    if there != written:
+        raise WarcError(f"{path}: archives of {there} records, not {written}")
     return read(spark, path)
 
 

@@ -78,3 +78,30 @@ def test_what_is_wrong_is_found():
     for bad in (data[:-1], b"\0" + data, data[:-3] + b"\0\0\0"):
         with pytest.raises(w.WarcError):
             list(w.frames(bad))
+
+
+def test_records_that_are_missing_are_noticed(pages, spark, tmp_path):
+    rows = pages([(i, "u", f"<p>{i}</p>") for i in range(20)]).coalesce(1)
+    w.write(rows, f"file://{tmp_path}/a").collect()
+    (name,) = (p.name for p in (tmp_path / "a").glob("*.zst"))
+    assert ".r20." in name
+    data = (tmp_path / "a" / name).read_bytes()
+    last = list(w.frames(data))[-1][0]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / name).write_bytes(data[:last])
+    with pytest.raises(Exception, match="19 records, not 20"):
+        w.read(spark, f"file://{tmp_path}/b").collect()
+
+
+def test_record_ids_tell_payloads_apart(pages, spark, tmp_path):
+    w.write(pages([(7, "u", "a"), (7, "u", "b"), (8, "u", "a")]), f"file://{tmp_path}/a").collect()
+    found = [w.parsed(r)[0] for p in (tmp_path / "a").glob("*.zst") for _, r in w.frames(p.read_bytes())]
+    ids = [h["warc-record-id"] for h in found]
+    assert len(set(ids)) == 3
+    assert [h["warc-refers-to"] in ids for h in found if "warc-refers-to" in h] == [True]
+
+
+def test_session_settings_stay(pages, spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    w.op1(pages([(1, "u", "a")])).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
