@@ -51,3 +51,31 @@ def test_few_rows_move_when_a_shard_is_added(frame):
 
 def test_empty_table(frame):
     assert ring_shards.op2(frame([])).collect() == []
+
+
+def test_the_whole_query_against_insertion_one_by_one(spark, frame, odd_rows):
+    rows = odd_rows + [(i, f"text {i % 50}") for i in range(1000, 1400)]
+    keyed = spark.createDataFrame([(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows], "doc_id long, size long, crc long")
+    places = keyed.selectExpr("doc_id", "size", "crc", "xxhash64(doc_id, crc) AS place").collect()
+    # Ring order: by the 64-bit place, read as unsigned.
+    ring = sorted(places, key=lambda r: (r.place % (1 << 64) >> 50, r.place, r.doc_id is not None, r.doc_id or 0, r["size"]))
+    nodes, room, filled, expected = ring_shards.ring(8), [len(rows) // 8 + (s < len(rows) % 8) for s in range(8)], [0] * 8, []
+    for r in ring:
+        cell = r.place % (1 << 64) >> 50
+        at = next((k for k, (c, _) in enumerate(nodes) if c >= cell), 0)
+        while filled[nodes[at % len(nodes)][1]] == room[nodes[at % len(nodes)][1]]:
+            at += 1
+        shard = nodes[at % len(nodes)][1]
+        expected.append((r.doc_id, r["size"], r.crc, shard, filled[shard]))
+        filled[shard] += 1
+    found = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in ring_shards.op2(frame(rows)).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_a_hot_cell_is_ranked_in_parts(frame, monkeypatch):
+    monkeypatch.setattr(ring_shards, "LEAST_HOT", 10)
+    rows = [(None, "the same")] * 400 + [(i, f"text {i}") for i in range(400)]
+    found = ring_shards.op2(frame(rows).repartition(5)).collect()
+    per = Counter(r.shard for r in found)
+    assert per == {s: 100 for s in range(8)}
+    assert all(sorted(r.slot for r in found if r.shard == s) == list(range(100)) for s in range(8))
