@@ -4,9 +4,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codefacts.storage import saved
+
 WINDOW = 50
 
 
@@ -54,28 +56,60 @@ def profiles(items: DataFrame, key: Sequence[str], shape: Sequence[str] = ()) ->
     return own.groupBy(*shape, "windows").agg(F.min("key").alias("profile"), F.count(F.lit(1)).alias("members"), F.size(F.first("windows")).alias("total"))
 
 
+def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the multiset intersection of two sorted arrays, row by row."""
+
+    def size(x: np.ndarray, y: np.ndarray) -> int:
+        (ux, nx), (uy, ny) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+        _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+        return int(np.minimum(nx[i], ny[j]).sum())
+
+    return pd.Series([size(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
 def overlaps(groups: DataFrame, shape: Sequence[str] = (), least: float = 0.7) -> DataFrame:
     """a, b (profiles, a < b) and confidence: the multiset intersection over the larger total.
 
-    Windows are counted by profile before they meet, and only windows that two profiles share make
-    rows; the join is an equi join on shape and window.
+    Only profiles that share one of their rarest windows are compared. A profile of t windows that reaches the least
+    share with another has its rarest common one among its t - least * t + 1 rarest, whichever windows these are, so that
+    no pair is lost; windows that many profiles have come last and hardly ever meet. Candidates are compared on
+    their whole arrays.
     """
-    counted = groups.select("profile", "total", *shape, F.explode("windows").alias("window")).groupBy("profile", "total", *shape, "window").agg(F.count(F.lit(1)).alias("n"))
-    left = counted.select(*shape, "window", F.col("profile").alias("a"), F.col("total").alias("total_a"), F.col("n").alias("n_a"))
-    right = counted.select(*shape, "window", F.col("profile").alias("b"), F.col("total").alias("total_b"), F.col("n").alias("n_b"))
+    own = saved(groups.select("profile", "total", *shape, "windows"), "profiles")
+    each = own.select("profile", "total", *shape, F.size(F.array_distinct("windows")).alias("distinct"), F.explode(F.array_distinct("windows")).alias("window"))
+    many = each.groupBy(*shape, "window").agg(F.count(F.lit(1)).alias("profiles")).where("profiles > 1")
+    common = each.join(many, [*shape, "window"])
+    by_profile = Window.partitionBy("profile", *shape)
+    # Windows of this profile alone are its rarest, and meet no other.
+    prefix = F.col("total") - F.ceil(F.col("total") * least - 1e-9) + 1 - (F.col("distinct") - F.count(F.lit(1)).over(by_profile))
+    place = F.row_number().over(by_profile.orderBy("profiles", "window"))
+    rare = saved(common.withColumn("prefix", prefix).withColumn("place", place).where("place <= prefix").select("profile", "total", *shape, "window"), "rarest")
+    left = rare.select(*shape, "window", F.col("profile").alias("a"), F.col("total").alias("total_a"))
+    right = rare.select(*shape, "window", F.col("profile").alias("b"), F.col("total").alias("total_b"))
     # Totals that differ too much can't reach the least share.
     near = (F.col("a") < F.col("b")) & (F.least("total_a", "total_b") >= least * F.greatest("total_a", "total_b"))
-    shared = left.join(right, [*shape, "window"]).where(near).groupBy("a", "b", "total_a", "total_b").agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
-    return shared.withColumn("confidence", F.col("shared") / F.greatest("total_a", "total_b")).where(F.col("confidence") >= least).select("a", "b", "confidence")
+    pairs = left.join(right, [*shape, "window"]).where(near).select(*shape, "a", "b").distinct()
+    arrays = lambda side: own.select(*shape, F.col("profile").alias(side), F.col("total").alias(f"total_{side}"), F.col("windows").alias(f"windows_{side}"))
+    both = pairs.join(arrays("a"), [*shape, "a"]).join(arrays("b"), [*shape, "b"])
+    size = F.pandas_udf(shared, "long")("windows_a", "windows_b")
+    confidence = F.col("shared") / F.greatest("total_a", "total_b")
+    return both.select("a", "b", "total_a", "total_b", size.alias("shared")).withColumn("confidence", confidence).where(F.col("confidence") >= least).select("a", "b", "confidence")
 
 
 def equal_pairs(items: DataFrame, order: Sequence[str], equal: Sequence[str], apart: Column | None = None) -> DataFrame:
     """Pairs a, b (structs of all columns) of items with equal ``equal`` columns, a before b in ``order``.
 
-    An equi join; apart: a condition on a and b. Only groups of two and more are joined.
+    An equi join that makes as many rows as there are pairs, as the report names pairs; apart: a condition on a and b. For groups of
+    many members use ``equal_classes``, whose result grows with the items alone.
     """
     both = items.select(F.struct(*order).alias("at"), *equal, F.struct("*").alias("item"))
     left = both.select(*equal, F.col("at").alias("at_a"), F.col("item").alias("a"))
     right = both.select(*equal, F.col("at").alias("at_b"), F.col("item").alias("b"))
     pairs = left.join(right, list(equal)).where("at_a < at_b")
     return (pairs if apart is None else pairs.where(apart)).select("a", "b")
+
+
+def equal_classes(items: DataFrame, order: Sequence[str], equal: Sequence[str]) -> DataFrame:
+    """The items with ``first`` (the ``order`` columns of the first of their equals) and ``members`` (how many they are)."""
+    classes = items.groupBy(*equal).agg(F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("members"))
+    return items.join(classes, list(equal))

@@ -1,5 +1,8 @@
 """Generic operators and the queries over fact rows against SQL."""
 
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -55,6 +58,26 @@ def test_windows_and_overlaps(spark):
     assert similarity.overlaps(groups, least=0.9).count() == 0
 
 
+def test_overlaps_against_all_pairs(spark):
+    rng, rows = random.Random(3), []
+    base = [[rng.randrange(40) for _ in range(rng.randint(1, 40))] for _ in range(12)]
+    for i in range(120):
+        own = list(rng.choice(base))
+        for _ in range(rng.randint(0, 12)):
+            own[rng.randrange(len(own))] = rng.randrange(60)
+        rows.append((i, rng.choice("pq"), own + [1, 1, 2]))
+    groups = similarity.profiles(spark.createDataFrame(rows, "id int, kind string, windows array<long>"), ["id"], ["kind"])
+    own = [(r.profile.id, r.kind, Counter(r.windows), r.total) for r in groups.collect()]
+    slow = {(a, b): sum((x & y).values()) / max(s, t) for a, k, x, s in own for b, m, y, t in own if a < b and k == m and sum((x & y).values()) / max(s, t) >= 0.7}
+    found = {(r.a.id, r.b.id): r.confidence for r in similarity.overlaps(groups, ["kind"]).collect()}
+    assert len(slow) > 20 and found == slow
+
+
+def test_equal_classes(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id int, v string")
+    assert sorted((r.id, r.first.id, r.members) for r in similarity.equal_classes(rows, ["id"], ["v"]).collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+
+
 def test_relational(spark):
     rows = spark.createDataFrame([("k", "a", 1), ("k", "a", 2), ("l", "a", 1), ("l", "b", 1)], "k string, g string, v int")
     assert [tuple(r) for r in relational.single_group(rows, ["k"], "g", "v").collect()] == [("k", "a", 2, [1, 2])]
