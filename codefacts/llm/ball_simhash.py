@@ -8,8 +8,9 @@ The 1 + 64 + 2016 variants of a fingerprint (r = 2) are not shuffled one by one.
 its leading bits; of the flips of a fingerprint only those inside the leading bits change the bucket,
 so a fingerprint goes once to each bucket that holds variants of its (79 of 4096), and the bucket's task
 makes the variants that lie there, sorts them and reads off the meetings. The number of leading bits
-grows with the number of fingerprints, so that a bucket's load does not. Buckets whose load is
-many times the mean are split by further bits in the same way.
+grows with the number of fingerprints, so that a bucket's load does not, up to MOST_BITS and, in buckets whose load is
+many times the mean, 12 further bits by which these are split in the same way; beyond some 10^8 distinct fingerprints buckets grow
+with the input.
 
 All fingerprints that share a variant are within 2r of each other, so neighbours in the sorted order
 suffice: no group is expanded into its pairs. Each task reduces its links to a forest, links
@@ -18,7 +19,8 @@ folder after each round), and copies of one fingerprint are one node throughout.
 
 Defined cases: null and empty texts have fingerprint zero, which links like any other; texts with fewer
 words than a shingle hash as one shingle; rows without an id get their fingerprint and component but
-name no component unless it has no id at all; an empty table gives an empty result.
+name no component unless it has no id at all; repeated rows get equal rows; texts of any length are read whole; other
+columns take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations

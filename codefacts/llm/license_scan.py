@@ -13,7 +13,7 @@ any place holds the anchor word. Long notices use all their words above RARE of
 anchors, so that an edited anchor is not a miss.
 
 Defined cases: null and empty texts have no words, no labels and score 0; texts are read whole; only
-the id and the text column are read; repeated rows get equal rows.
+the id and the text column are read; repeated rows get equal rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations

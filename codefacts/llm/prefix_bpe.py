@@ -11,7 +11,8 @@ Tokens that BPE never makes (whose own bytes encode otherwise) take no part. Whe
 apart is found by undoing merges from both sides of their border and is cached.
 
 Defined cases: null and empty texts have no tokens; texts of any length and any bytes are encoded in
-time proportional to their length times the longest token; ids out of the vocabulary raise KeyError.
+time proportional to their length times the longest token; ids out of the vocabulary raise KeyError; repeated
+rows get equal rows; other columns take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
