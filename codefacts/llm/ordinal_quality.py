@@ -33,7 +33,7 @@ from codefacts.llm.common import mapped, saved, text_of
 #: Rated rows that are fitted at most, hashed weights, the least tail probability of a kept text.
 EXAMPLES, WEIGHTS, KEEP = 3000, 1 << 16, 0.5
 #: Penalty of squared weights; the fit ends when the penalised likelihood has gained less than this in PATIENCE rounds, after ROUNDS at most.
-PENALTY, GAIN, PATIENCE, ROUNDS = 1e-4, 1e-6, 20, 400
+PENALTY, GAIN, PATIENCE, ROUNDS = 1e-4, 1e-4, 20, 400
 SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"\d+"), "0"))
 
 
@@ -104,7 +104,7 @@ def fit_model(rows: list[dict[int, float]], grades: list[int]) -> Model:
     gaps = np.log(np.maximum(np.diff(start), 1e-3))
     p = np.concatenate([np.zeros(WEIGHTS), start[:1], gaps])
     mean, square = np.zeros_like(p), np.zeros_like(p)
-    least, best, since = np.inf, p, 0
+    least, best, mark, since = np.inf, p, np.inf, 0
     for step in range(1, ROUNDS + 1):
         t = np.concatenate([p[WEIGHTS : WEIGHTS + 1], p[WEIGHTS : WEIGHTS + 1] + np.cumsum(np.exp(p[WEIGHTS + 1 :]))])
         s = np.bincount(row, val * p[idx], len(rows))
@@ -113,7 +113,7 @@ def fit_model(rows: list[dict[int, float]], grades: list[int]) -> Model:
         hi, lo = cum[r, at], cum[r, at + 1]
         like = np.maximum(hi - lo, 1e-9)
         loss = -np.log(like).mean() + PENALTY / 2 * float(p[:WEIGHTS] @ p[:WEIGHTS])
-        since = 0 if loss < least - GAIN else since + 1
+        mark, since = (loss, 0) if loss < mark - GAIN else (mark, since + 1)
         if loss < least:
             least, best = loss, p
         if since >= PATIENCE:
