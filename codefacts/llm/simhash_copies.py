@@ -47,6 +47,8 @@ TABLES, BITS, RADIUS = 15, 32, 2
 FAR, FAR_IN_ALL = 8, 75
 #: Rounds in which nodes are verified against their nearest candidates only, and how many of those that share a variant are looked at for them.
 ROUNDS, LOOK = 3, 256
+#: Candidates that a task holds at a time.
+PAIRS = 1 << 20
 #: Fingerprints that a bucket should hold of its own, and the least and the most leading bits.
 BUCKET, LEAST_BITS, MOST_BITS = 1 << 16, 5, 20
 
@@ -101,8 +103,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 ENTRY = np.dtype([("print", "<u8"), ("node", "<i8"), ("root", "<i8"), ("size", "<i4")])
 
 
-def met(entries: np.ndarray, bits: int, prefix: int, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates a, b (places) and their distance among entries that share a variant with these leading bits.
+def met(entries: np.ndarray, bits: int, prefix: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates a, b (places) and their distance among entries that share a variant with these leading bits, PAIRS at a time.
 
     nearest: of each entry the nearest one of LOOK that follow or precede it; otherwise all pairs. Entries of one root make no pair.
     """
@@ -140,9 +142,10 @@ def met(entries: np.ndarray, bits: int, prefix: int, nearest: bool) -> tuple[np.
         else:
             found.append(np.minimum(i, j) * many + np.maximum(i, j))
             held += len(i)
-            if held > 1 << 21:
-                found = [np.unique(np.concatenate(found))]
-                held = 0
+            if held > PAIRS:
+                codes = np.unique(np.concatenate(found))
+                yield codes // many, codes % many, np.zeros(len(codes), np.int64)
+                found, held = [np.zeros(0, np.int64)], 0
     if nearest:
         # Where a run is too long to be looked through, its entries stay in question: they name themselves.
         none = np.iinfo(np.int64).max
@@ -150,9 +153,10 @@ def met(entries: np.ndarray, bits: int, prefix: int, nearest: bool) -> tuple[np.
         more = more[best[more] == none]
         best[more] = BITS * 2 * many + more
         a = np.flatnonzero(best < none)
-        return a, best[a] % many, best[a] // many
-    codes = np.unique(np.concatenate(found))
-    return codes // many, codes % many, np.zeros(len(codes), np.int64)
+        yield a, best[a] % many, best[a] // many
+    else:
+        codes = np.unique(np.concatenate(found))
+        yield codes // many, codes % many, np.zeros(len(codes), np.int64)
 
 
 def candidates(nodes: DataFrame, turn: int, nearest: bool) -> DataFrame:
@@ -184,12 +188,12 @@ def candidates(nodes: DataFrame, turn: int, nearest: bool) -> DataFrame:
                 keys = list(rows)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(keys), pa.int32()), pa.array([x[0] for x in keys], pa.int32()), pa.array([x[1] for x in keys], pa.int32()), pa.array([b"".join(rows[x]) for x in keys], pa.binary())], names=["k", "bucket", "part", "entries"])
 
-    def meet(key: tuple, group: pa.Table) -> pa.Table:
+    def meet(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, bucket, part = (x.as_py() for x in key)
         more = hot[k].get(bucket, 0)
-        entries = np.frombuffer(b"".join(group.column("entries").to_pylist()), ENTRY)
-        a, b, apart = met(entries, bits + more, bucket << more | part, nearest)
-        return pa.table({"a": entries["node"][a], "b": entries["node"][b], "apart": pa.array(apart.astype(np.int32))})
+        entries = np.frombuffer(b"".join(e for batch in group for e in batch.column("entries").to_pylist()), ENTRY)
+        for a, b, apart in met(entries, bits + more, bucket << more | part, nearest):
+            yield pa.RecordBatch.from_arrays([pa.array(entries["node"][a]), pa.array(entries["node"][b]), pa.array(apart.astype(np.int32))], names=["a", "b", "apart"])
 
     with arrow_batches(nodes.sparkSession, 32768):
         sent = nodes.select("node", "root", "size", "prints").repartition(max(4, min(n >> 13, 4096))).mapInArrow(emit, "k int, bucket int, part int, entries binary")
