@@ -25,9 +25,10 @@ carries them as they are.
 """
 
 import math
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -42,6 +43,8 @@ from codefacts.llm.common import mapped, saved, text_of
 
 #: Labelled rows that are fitted at most; neighbours; examples in a block.
 EXAMPLES, K, BLOCK = 4000, 15, 128
+#: Blocks that are opened before the others are ruled out.
+FIRST = 4
 #: Share of the examples beyond which a term is common.
 COMMON = 0.05
 #: What a term that does not depend on the label weighs against one that does.
@@ -107,7 +110,7 @@ class Index:
         largest = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.largest = np.nextafter(largest.astype(np.float32), np.float32(np.inf))
         self.of_term = np.searchsorted(term[first], np.arange(len(terms) + 1)).astype(np.uint32)
-        self.opened, self.curve, self.empty = 0, np.array([-2.0, 4.0, 0.0]), 0.0
+        self.opened = 0
 
     @cached_property
     def value(self) -> np.ndarray:
@@ -122,6 +125,7 @@ class Index:
 
     def unit(self, tf: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and values of a text's vector, of length 1."""
+        tf = dict(sorted(tf.items()))
         t = np.fromiter(tf, np.int64, len(tf))
         n = np.fromiter(tf.values(), np.float64, len(tf))
         if not (common := self.common[t]).all():
@@ -139,13 +143,12 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        done, many = 0, 2
-        while done < len(order):
-            some = order[done : done + many]
+        # The most promising blocks first; then all that the k-th cosine of these leaves possible.
+        for some in (order[:FIRST], order[FIRST:]):
             if len(best) >= k:
                 some = some[bound[some] >= -best[k - 1][0] - 1e-9]
-                if not len(some):
-                    break
+            if not len(some):
+                break
             wanted = np.zeros(self.blocks, bool)
             wanted[some] = True
             open_ = np.flatnonzero(wanted[blocks])
@@ -161,15 +164,21 @@ class Index:
                 found = found[sums[found] >= kth - 1e-11]
             best = sorted(best + [(-round(float(sums[i]), 12), int(i)) for i in found])[:k]
             self.opened += len(some)
-            done, many = done + many, 4 * many
         return [(-s, i) for s, i in best]
 
-    def vote(self, near: list[tuple[float, int]]) -> tuple[float, float]:
+    def vote(self, near: list[tuple[float, int]]) -> tuple[float, float] | None:
+        """Share of the squared cosines that toxic neighbours have, and the largest cosine."""
+        if not near:
+            return None
         total = sum(s * s for s, _ in near)
         return float(sum(s * s * self.labels[i] for s, i in near) / total), near[0][0]
 
-    def calibrate(self, votes: list[tuple[float, float] | None], labels: list[float]) -> None:
-        """A logistic curve over the examples' leave-one-out votes (None: no neighbour), its targets drawn in by one case of each class."""
+
+class Curve:
+    """What a vote means: a logistic curve, and the score of a text without neighbours."""
+
+    def __init__(self, votes: list[tuple[float, float] | None], labels: list[float]) -> None:
+        """Fitted on the examples' leave-one-out votes (None: no neighbour), its targets drawn in by one case of each class."""
         without = [y for v, y in zip(votes, labels) if v is None]
         prior = (sum(labels) + 0.5) / (len(labels) + 1)
         self.empty = (sum(without) + prior) / (len(without) + 1)
@@ -180,13 +189,23 @@ class Index:
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
             w = w - np.linalg.solve(h, x.T @ (p - y) + 0.05 * (w - np.array([-2.0, 4.0, 0.0])))
-        self.curve = w
+        self.weights = w
 
-    def score(self, near: list[tuple[float, int]]) -> float:
-        if not near:
-            return float(self.empty)
-        share, top = self.vote(near)
-        return float(1 / (1 + np.exp(-np.clip(self.curve @ (1, share, top), -30, 30))))
+    def score(self, vote: tuple[float, float] | None) -> float:
+        return float(self.empty) if vote is None else float(1 / (1 + np.exp(-np.clip(self.weights @ (1, *vote), -30, 30))))
+
+
+class Fitted:
+    """An index, pickled, and its curve. It goes to the workers as it is; they unpack it."""
+
+    def __init__(self, pages: bytes, curve: Curve | None = None) -> None:
+        self.pages, self.curve = pages, curve
+
+    def index(self) -> Index:
+        return pickle.loads(self.pages)
+
+    def scorer(self) -> Callable[[str], tuple[float, list]]:
+        return Scorer(self.index(), self.curve)
 
 
 class Scorer:
@@ -194,22 +213,30 @@ class Scorer:
 
     CHUNKS = 400_000
 
-    def __init__(self, index: Index) -> None:
-        self.index, self.chunks, self.answers = index, {}, {}
+    def __init__(self, index: Index, curve: Curve | None = None) -> None:
+        self.index, self.curve, self.chunks, self.answers = index, curve, {}, {}
         self.place = {t: i for i, t in enumerate(index.terms)}
+        self.common = index.common.tolist()
 
     def vector(self, text: str) -> dict[int, float]:
-        place, chunks, tf = self.place, self.chunks, {}
-        for chunk, n in Counter(text.split()).items():
+        """Terms and counts: without common terms, or of these alone."""
+        place, common, chunks = self.place, self.common, self.chunks
+        tf: dict[int, int] = {}
+        counts = Counter(text.split())
+        for chunk, n in counts.items():
             if (own := chunks.get(chunk)) is None:
-                own = tuple(place[t] for t in terms_of(chunk) if t in place)
+                own = tuple(t for term in terms_of(chunk) if (t := place.get(term)) is not None and not common[t])
                 if len(chunks) >= self.CHUNKS:
                     chunks.clear()
                 if len(chunk) <= 64:
                     chunks[chunk] = own
             for t in own:
                 tf[t] = tf.get(t, 0) + n
-        return dict(sorted(tf.items()))
+        if not tf:
+            for chunk, n in counts.items():
+                for t in filter(None.__ne__, map(place.get, terms_of(chunk))):
+                    tf[t] = tf.get(t, 0) + n
+        return tf
 
     def near(self, text: str, but: int = -1) -> list[tuple[float, int]]:
         tf = self.vector(text)
@@ -219,7 +246,7 @@ class Scorer:
         key = xxhash.xxh3_128_digest(text)
         if (answer := self.answers.get(key)) is None:
             near = self.near(text)
-            answer = self.index.score(near), [self.index.ids[i] for _, i in near[:3]]
+            answer = self.curve.score(self.index.vote(near)), [self.index.ids[i] for _, i in near[:3]]
             if len(self.answers) >= 50_000:
                 self.answers.clear()
             self.answers[key] = answer
@@ -235,12 +262,15 @@ class Constant:
     def __call__(self, text: str) -> tuple[float, list]:
         return self.share, []
 
+    def scorer(self) -> Callable[[str], tuple[float, list]]:
+        return self
+
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Index | Constant:
+def fit(docs: DataFrame, labels: DataFrame) -> Fitted | Constant:
     """docs: doc_id, text; labels: doc_id, toxic. Only rows that are not held out are learnt from."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # The sample's ids, EXAMPLES at most, are broadcast.
@@ -255,28 +285,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | Constant:
 
         return run
 
-    rows = saved(mapped(texts.select("doc_id", "text"), make, "terms array<string>, counts array<int>"), "terms").join(F.broadcast(sample), "doc_id")
-    rows = rows.orderBy("doc_id").toArrow()  # EXAMPLES at most
-    ids, toxic = rows["doc_id"].to_pylist(), np.array(rows["toxic"].to_pylist(), float)
-    n, positive = len(ids), int(toxic.sum())
-    if not n or not positive or positive == n:
-        return Constant(float(positive / max(1, n)))
-    index = built(rows["terms"].combine_chunks(), rows["counts"].combine_chunks(), toxic, ids)
-    place = {i: k for k, i in enumerate(index.ids)}
+    rows = mapped(texts.select("doc_id", "text"), make, "terms array<string>, counts array<int>").join(F.broadcast(sample), "doc_id")
+
+    def build(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One task has all examples, EXAMPLES at most, and leaves the index in parts.
+        rows = pa.Table.from_batches(group).sort_by("doc_id")
+        toxic = np.array(rows["toxic"].to_pylist(), float)
+        pages = pickle.dumps(built(rows["terms"].combine_chunks(), rows["counts"].combine_chunks(), toxic, rows["doc_id"].to_pylist()), 5)
+        for at in range(0, len(pages), 1 << 22):
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pages[at : at + (1 << 22)]], pa.binary())], names=["at", "page"])
+
+    known = {r["doc_id"]: float(r["toxic"]) for r in texts.select("doc_id", "toxic").collect()}  # EXAMPLES at most
+    if len(set(known.values())) < 2:
+        return Constant(sum(known.values()) / max(1, len(known)))
+    pages = saved(rows.groupBy(F.lit(0).alias("all")).applyInArrow(build, "at long, page binary"), "index")
+    fitted = Fitted(b"".join(r["page"] for r in pages.orderBy("at").collect()))
 
     def leave_one_out():
-        scorer = Scorer(index)
+        scorer = Scorer(fitted.index())
+        place = {i: k for k, i in enumerate(scorer.index.ids)}
 
         def run(ids, texts):
-            votes = [scorer.index.vote(near) if (near := scorer.near(t, place[i])) else (None, None) for i, t in zip(ids, texts)]
+            votes = [scorer.index.vote(scorer.near(t, place[i])) or (None, None) for i, t in zip(ids, texts)]
             return [list(c) for c in zip(*votes, strict=True)]
 
         return run
 
-    spread_out = texts.select("doc_id", "text").repartition(max(2, min(64, n // 64)))
-    votes = {r["doc_id"]: None if r["share"] is None else (r["share"], r["top"]) for r in mapped(spread_out, leave_one_out, "share double, top double").collect()}  # EXAMPLES at most
-    index.calibrate([votes[i] for i in index.ids], index.labels.tolist())
-    return index
+    spread_out = texts.select("doc_id", "text").repartition(max(2, min(64, len(known) // 256)))
+    votes = mapped(spread_out, leave_one_out, "share double, top double").collect()  # EXAMPLES at most
+    votes = sorted((r["doc_id"], None if r["share"] is None else (r["share"], r["top"])) for r in votes)
+    fitted.curve = Curve([v for _, v in votes], [known[i] for i, _ in votes])
+    return fitted
 
 
 def built(terms: pa.ListArray, counts: pa.ListArray, toxic: np.ndarray, ids: list) -> Index:
@@ -299,10 +338,10 @@ def built(terms: pa.ListArray, counts: pa.ListArray, toxic: np.ndarray, ids: lis
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score and evidence (ids of the three nearest examples) of each row's whole text."""
-    index = fit(docs, labels)
+    fitted = fit(docs, labels)
 
     def make():
-        scorer = Scorer(index) if isinstance(index, Index) else index
+        scorer = fitted.scorer()
         return lambda ids, texts: [list(c) for c in zip(*map(scorer, texts), strict=True)]
 
     return mapped(docs.select("doc_id", "text"), make, "score double, evidence array<long>")
@@ -315,11 +354,11 @@ def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns as they were."""
-    index = fit(docs, labels)
+    fitted = fit(docs, labels)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(index) if isinstance(index, Index) else index
+        scorer = fitted.scorer()
         for texts in batches:
             yield pd.Series([scorer(t or "")[0] for t in texts], dtype="float64")
 

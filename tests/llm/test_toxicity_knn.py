@@ -71,7 +71,8 @@ def test_the_whole_query_against_brute_force(spark, frame, odd_rows):
     rows, labels, _ = corpus(260, 5)
     docs = frame(rows + odd_rows[60:])
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    index = tk.fit(docs.select("doc_id", "text"), known)
+    fitted = tk.fit(docs.select("doc_id", "text"), known)
+    index = fitted.index()
     toxic = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 != 2}
     assert sorted(index.ids) == sorted(toxic)
     texts = dict(rows)
@@ -92,9 +93,9 @@ def test_the_whole_query_against_brute_force(spark, frame, odd_rows):
         near = sorted((-round(c, 9), index.ids.index(j)) for j, c in cosines.items() if c > 0)[: tk.K]
         if near:
             share = sum(c * c * toxic[index.ids[k]] for c, k in near) / sum(c * c for c, _ in near)
-            score = 1 / (1 + math.exp(-(index.curve @ (1, share, -near[0][0]))))
+            score = 1 / (1 + math.exp(-(fitted.curve.weights @ (1, share, -near[0][0]))))
         else:
-            score = index.empty
+            score = fitted.curve.empty
         slow.append((i, score, len(near)))
     # A text has neighbours where any example has one of its terms.
     order = lambda r: (r[0] is None, r[0] or 0, round(r[1], 4))
