@@ -225,7 +225,7 @@ class File:
 
     def member(self, value: tuple | None, name: str, instance: bool, scope: Scope, base: bool = False, seen: set | None = None) -> tuple | None:
         seen = set() if seen is None else seen
-        if value is None or (key := (value[0], value[1] if isinstance(value[1], str) else id(value[1]), base)) in seen:
+        if value is None or value[0] == "other" or (key := (value[0], value[1] if isinstance(value[1], str) else id(value[1]), base)) in seen:
             return None
         seen.add(key)
         if value[0] == "new":
@@ -366,7 +366,7 @@ class File:
 
     def member_names(self, value: tuple | None, scope: Scope, seen: set | None = None) -> list[str]:
         seen = set() if seen is None else seen
-        if value is None or (key := (value[0], value[1] if isinstance(value[1], str) else id(value[1]))) in seen:
+        if value is None or value[0] == "other" or (key := (value[0], value[1] if isinstance(value[1], str) else id(value[1]))) in seen:
             return []
         seen.add(key)
         if value[0] == "new":

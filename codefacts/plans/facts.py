@@ -7,8 +7,8 @@ batches; the parsed rows are written down, and all tables are explosions of them
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +66,14 @@ class Facts:
     params: DataFrame
     shapes: DataFrame
     types: DataFrame
+    #: Tables that several detectors need, by name; new facts made of these start without.
+    shared: dict[str, DataFrame] = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is computed and written when it is first asked for."""
+        if name not in self.shared:
+            self.shared[name] = saved(make(), "shared")
+        return self.shared[name]
 
 
 def parsed(sources: DataFrame) -> DataFrame:

@@ -159,3 +159,8 @@ def test_long_chains_of_calls_names_and_classes():
 def test_brackets_that_never_close_and_cases_that_fail_often():
     for source in ("(" * 300, "(a" * 200 + "=>", "f<" * 200, "x ? (y) : " * 100 + "1 +", "()=>" * 200 + "}"):
         File(source)
+
+
+def test_members_of_names_without_a_known_value():
+    file = File("let a: number = 1;\nlet b;\na.x(); b.y(); c.z();\nexport default b;\nclass D extends b {}\nnew D().w();\nexport { a };")
+    assert [c["target"] for c in file.calls] == [None] * 4

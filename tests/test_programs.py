@@ -56,6 +56,14 @@ PROGRAMS = {
         "z.ts": "export * from './a';\n",
         "cls.ts": "class Base { hit() { this.own(); } own() {} }\nexport class A extends Base { miss() {} never() {} }\n",
     },
+    "hops": {
+        "tsconfig.json": "{}",
+        "index.ts": "import { far } from './m0';\nimport { round } from './r0';\nfar(); round();\nexport function go() { far(); }\n",
+        **{f"m{i}.ts": f"export {{ far }} from './m{i + 1}';\n" for i in range(45)},
+        "m45.ts": "export function far() {}\n",
+        "r0.ts": "export { round } from './r1';\n",
+        "r1.ts": "export { round } from './r0';\n",
+    },
     "empty": {"tsconfig.json": '{"include": []}', "x.ts": "export const a = 1;\n"},
 }
 
@@ -198,3 +206,9 @@ def test_edges_from_elsewhere(own_facts, spark):
     go, dead = rows["go"], rows["dead"]
     given = spark.createDataFrame([(go.program, go.file, go.span_start, dead.file, dead.span_start, 7), (go.program, go.file, 99999, dead.file, dead.span_start, 8)], "program string, src_file string, src_span int, dst_file string, dst_span int, call_start int")
     assert [tuple(r) for r in with_edges(own_facts, given).edges.collect()] == [(go.program, go.fn, dead.fn, 7)]
+
+
+def test_names_are_followed_through_any_number_of_files(own_facts):
+    calls = {r.program.rpartition("/")[2]: (r.calls, r.resolved) for r in call_counts(own_facts).collect()}
+    assert calls["hops"] == (3, 2)
+    assert [(e.src.rpartition("/")[2].split(":")[0], e.dst.rpartition("/")[2].split(":")[0]) for e in own_facts.edges.collect() if "/hops/" in e.src] == [("index.ts", "m45.ts")]
