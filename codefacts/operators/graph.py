@@ -43,9 +43,6 @@ def reachable(edges: DataFrame, roots: DataFrame, group: Sequence[str] = (), lab
     work = edges.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(many, [*group])
     small, large, tasks = _dealt(work.withColumn("work", F.col("n") * (F.col("labels") if label else F.lit(1))), list(group))
     found = _in_tasks(small(edges), small(roots), list(group), list(label), tasks)
-    # Roots of groups without edges are all that they reach.
-    alone = roots.join(edges.select(*group).distinct(), list(group), "left_anti")
-    found = found.unionByName(alone)
     return found if large is None else found.unionByName(_rounds(large(edges), large(roots), list(group), keys))
 
 
