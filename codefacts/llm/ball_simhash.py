@@ -219,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id of every row."""
-    rows = saved(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    rows = fingerprints(docs, words, id_col, text_col)
     # A fingerprint's least id goes along; copies of one fingerprint are one node.
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), radius))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codefacts.storage import saved, shared_dir
 
-#: Rows of an Arrow batch that are Python objects at a time: texts may be long.
+#: Rows of an Arrow batch of texts, which may be long, and of those that are Python objects at a time.
 BATCH_ROWS = 512
 
 
@@ -67,9 +67,10 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
 
 
 def mapped(df: DataFrame, make: Callable[[], Callable[[list, list], list[list]]], schema: str, kept: pa.DataType | None = None) -> DataFrame:
-    """Apply a function of (ids, texts) to a frame of an id and a text column, an Arrow batch at a time.
+    """Apply a function of (ids, texts) to a frame of an id and a text column, and write the result.
 
-    ``make()`` runs once in a task and returns the function; the function returns the columns that
+    The result is small beside the texts; it is written at once, as the bound of the Arrow batches that go to Python holds for
+    that job alone. ``make()`` runs once in a task and returns the function; the function returns the columns that
     follow the id. Null texts arrive as ''.
     """
     id_name = df.columns[0]
@@ -82,7 +83,8 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[list, list], list[list]]]
             columns = work(batch.column(0).to_pylist(), texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=f.type) for c, f in zip(columns, list(out)[1:], strict=True))], schema=out)
 
-    return df.mapInArrow(run, f"`{id_name}` {df.schema[0].dataType.simpleString()}, {schema}")
+    with arrow_batches(df.sparkSession, BATCH_ROWS):
+        return saved(df.mapInArrow(run, f"`{id_name}` {df.schema[0].dataType.simpleString()}, {schema}"), "mapped")
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

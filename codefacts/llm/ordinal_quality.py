@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import mapped, saved, text_of
+from codefacts.llm.common import BATCH_ROWS, arrow_batches, mapped, saved, text_of
 
 #: Rated rows that are fitted at most, hashed weights, the least tail probability of a kept text.
 EXAMPLES, WEIGHTS, KEEP = 3000, 1 << 16, 0.5
@@ -135,7 +135,7 @@ def fit_model(rows: list[dict[int, float]], grades: list[int]) -> Model:
 class Scorer:
     """Scores of texts; a token's share is looked up."""
 
-    TOKENS = 400_000
+    TOKENS = 150_000
 
     def __init__(self, model: Model) -> None:
         self.model, self.weights, self.shares = model, model.weights, {}
@@ -207,4 +207,6 @@ def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([scorer(t or "")[1] for t in texts], dtype="float64")
 
-    return docs.where(tail(F.col("text")) >= KEEP)
+    # Written at once, as the bound of the Arrow batches holds for that job alone.
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return saved(docs.where(tail(F.col("text")) >= KEEP), "selected")

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import arrow_schema, saved, sliced
+from codefacts.llm.common import BATCH_ROWS, arrow_batches, arrow_schema, saved, sliced
 
 #: Length of a sequence, children of a tree node, underfull bins that a node passes upward at most.
 LENGTH, FAN_IN, CARRY = 2048, 16, 256
@@ -56,7 +56,7 @@ def byte_alphabet() -> dict[str, int]:
 class Tokens:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    CHUNKS, LONGEST = 600_000, 40
+    CHUNKS, LONGEST = 300_000, 40
     #: White space that stays in a chunk, and letters past the blocks whose classes never changed.
     UNUSUAL = regex.compile(r"[ \t-\r\x1c-\x1f\x85\xa0]\s|\s\Z|[^\x00-ɏ‐-‧‰-⁞]")
 
@@ -259,7 +259,8 @@ def merged(bins: DataFrame, least: int, length: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece. tokenizer: a local file that every executor has."""
-    pieces_ = saved(cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer, length), "pieces")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        pieces_ = saved(cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer, length), "pieces")
     bins = saved(local(pieces_.repartition(max(1, -(-pieces_.count() // PART))), length), "bins")
     least = bins.select(F.explode("members").alias("m")).agg(F.min("m.length")).first()[0] or 1
     done, waiting = [], bins

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.ball_simhash import SEED, components, emitted, flips, hot_limit
-from codefacts.llm.common import arrow_batches, bloom, mapped, maybe_in, saved, sliced, text_of
+from codefacts.llm.common import BATCH_ROWS, arrow_batches, bloom, mapped, maybe_in, saved, sliced, text_of
 
 WORDS = 5
 #: Similarity from which a pair is linked: LEAST / OF.
@@ -234,7 +234,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return saved(joined.mapInArrow(run, "a long, b long"), "verified")
+    with arrow_batches(pairs.sparkSession, BATCH_ROWS):
+        return saved(joined.mapInArrow(run, "a long, b long"), "verified")
 
 
 class Copies:
@@ -251,7 +252,7 @@ class Copies:
 
             return work
 
-        profiles = saved(mapped(self.rows.select("tag", self.text.alias("text")), make, "own binary, size int, prints binary"), "profiles")
+        profiles = mapped(self.rows.select("tag", self.text.alias("text")), make, "own binary, size int, prints binary")
         nodes = profiles.groupBy("own").agg(F.min(F.struct("tag", "size", "prints")).alias("x"), F.count(F.lit(1)).alias("n"))
         self.nodes = saved(nodes.select("own", "n", F.col("x.tag").alias("node"), "x.size", "x.prints"), "nodes")
         several = self.nodes.where("n > 1").select(F.col("own").alias("name"), "node")

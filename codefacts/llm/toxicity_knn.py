@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import mapped, saved, text_of
+from codefacts.llm.common import BATCH_ROWS, arrow_batches, mapped, saved, text_of
 
 #: Labelled rows that are fitted at most; neighbours; examples in a block.
 EXAMPLES, K, BLOCK = 4000, 15, 128
@@ -211,7 +211,7 @@ class Fitted:
 class Scorer:
     """Scores texts; the terms of chunks and the answers to texts seen before are looked up."""
 
-    CHUNKS = 400_000
+    CHUNKS = 150_000
 
     def __init__(self, index: Index, curve: Curve | None = None) -> None:
         self.index, self.curve, self.chunks, self.answers = index, curve, {}, {}
@@ -247,7 +247,7 @@ class Scorer:
         if (answer := self.answers.get(key)) is None:
             near = self.near(text)
             answer = self.curve.score(self.index.vote(near)), [self.index.ids[i] for _, i in near[:3]]
-            if len(self.answers) >= 50_000:
+            if len(self.answers) >= 10_000:
                 self.answers.clear()
             self.answers[key] = answer
         return answer
@@ -362,4 +362,6 @@ def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([scorer(t or "")[0] for t in texts], dtype="float64")
 
-    return docs.where(scored(F.col("text")) < THRESHOLD)
+    # Written at once, as the bound of the Arrow batches holds for that job alone.
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return saved(docs.where(scored(F.col("text")) < THRESHOLD), "civil")

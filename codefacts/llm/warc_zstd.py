@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import arrow_schema, saved, sliced, shared_dir
+from codefacts.llm.common import arrow_batches, arrow_schema, saved, shared_dir, sliced
 
 #: Fixed values of the formats: the magic numbers of a dictionary's skippable frame, a frame, a dictionary.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -227,7 +227,8 @@ def write(pages: DataFrame, path: str) -> DataFrame:
         if held:
             yield flush()
 
-    return saved(told.sortWithinPartitions("page_id", "url", "html").mapInArrow(run, out), "manifest")
+    with arrow_batches(pages.sparkSession, 256):
+        return saved(told.sortWithinPartitions("page_id", "url", "html").mapInArrow(run, out), "manifest")
 
 
 READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
