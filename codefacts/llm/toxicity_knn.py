@@ -36,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,13 +197,13 @@ class Curve:
 
 
 class Fitted:
-    """An index, pickled, and its curve. It goes to the workers as it is; they unpack it."""
+    """An index, pickled and compressed, and its curve. It goes to the workers as it is; they unpack it."""
 
     def __init__(self, pages: bytes, curve: Curve | None = None) -> None:
         self.pages, self.curve = pages, curve
 
     def index(self) -> Index:
-        return pickle.loads(self.pages)
+        return pickle.loads(zstandard.decompress(self.pages))
 
     def scorer(self) -> Callable[[str], tuple[float, list]]:
         return Scorer(self.index(), self.curve)
@@ -291,7 +292,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted | Constant:
         # One task has all examples, EXAMPLES at most, and leaves the index in parts.
         rows = pa.Table.from_batches(group).sort_by("doc_id")
         toxic = np.array(rows["toxic"].to_pylist(), float)
-        pages = pickle.dumps(built(rows["terms"].combine_chunks(), rows["counts"].combine_chunks(), toxic, rows["doc_id"].to_pylist()), 5)
+        pages = zstandard.compress(pickle.dumps(built(rows["terms"].combine_chunks(), rows["counts"].combine_chunks(), toxic, rows["doc_id"].to_pylist()), 5))
+        # The worker lives on: what the index was made of goes back.
+        del rows
+        pa.default_memory_pool().release_unused()
         for at in range(0, len(pages), 1 << 22):
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pages[at : at + (1 << 22)]], pa.binary())], names=["at", "page"])
 
@@ -322,9 +326,9 @@ def built(terms: pa.ListArray, counts: pa.ListArray, toxic: np.ndarray, ids: lis
     """The index of the examples' terms; what depends on the label weighs more."""
     n, positive = len(ids), toxic.sum()
     words = pc.unique(terms.flatten()).sort()
-    term = pc.index_in(terms.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int64)
-    count = counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    example = np.repeat(np.arange(n), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    term = pc.index_in(terms.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int32)
+    count = counts.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    example = np.repeat(np.arange(n, dtype=np.int32), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
     df = np.bincount(term, minlength=len(words)).astype(float)
     a = np.bincount(term, toxic[example], len(words))
     cell = lambda seen, of, all_: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) * n / np.maximum(of * all_, 1)), 0.0)
