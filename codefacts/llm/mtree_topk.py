@@ -9,9 +9,10 @@ of their lower bounds; entries that the stored distances rule out by the triangl
 passed over without a distance being computed; products of the rest are exact integers.
 
 First each query searches one tree, of the ring around its own pivot that is nearest; then all other trees whose
-pivot's ball and ring the k-th product found so far leaves possible. A tree goes to the blocks of queries (BLOCK each) that
-search it and to no others, so that a task holds one tree and one block whatever the number of either, and what is
-shuffled follows the searches that are left.
+pivot's ball and ring the k-th product found so far leaves possible. Queries go in blocks (BLOCK at most, of pivots that lie
+near each other), trees in shelves (SHELF rows); a task searches a shelf's trees for one block, and a tree goes to the blocks
+that may need it and to no others. What is shuffled so grows with the trees times the blocks, not with the searches. Inside a task
+many queries descend a tree together: those that a node's ball rules out are passed over, products of the rest are one matrix product.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take
 no part; vectors of different lengths do not meet; rows with the query's own id are not its candidates;
@@ -26,13 +27,21 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.llm.common import saved, sliced
 
-PAGE, PIVOTS, RINGS, BLOCK, LEAF, FAN_OUT = 4096, 1024, 64, 4096, 192, 32
+PAGE, PIVOTS, RINGS, BLOCK, LEAF, FAN_OUT = 4096, 1024, 64, 1 << 18, 192, 32
+#: Rows of a shelf of trees, and the shelves of small tables.
+SHELF, LEAST_SHELVES = 1 << 18, 24
+#: Queries that descend a tree together, and rows whose products with them are taken at once.
+TILE, SLAB = 1024, 512
 EXACT = 1 << 52
+#: Products of norms below which sums of products are whole numbers in doubles and in single floats.
+IN_DOUBLES, IN_FLOATS = 1 << 104, 1 << 48
+#: Squared norms below which components are two bytes.
+SHORT = 1 << 30
 
 
 def quantised(rows: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -73,6 +82,12 @@ class MTree:
         self.root, self.radius = self._load(np.arange(len(ids)), self.points.mean(axis=0))
         self.centre = self.centres[self.root]
         self.middles = np.array(self.centres)
+        # Rows of one leaf lie next to each other.
+        order = np.concatenate([e for leaf, e, _, _ in self.nodes if leaf])
+        self.ids, self.v, at = self.ids[order], self.v[order], 0
+        for i, (leaf, entries, apart, radii) in enumerate(self.nodes):
+            if leaf:
+                self.nodes[i] = (leaf, np.arange(at, at := at + len(entries), dtype=np.int32), apart, radii)
         del self.points, self.centres
 
     def thaw(self) -> "MTree":
@@ -153,16 +168,138 @@ class MTree:
         return [(s, -i) for s, i in best]
 
 
+class Searches:
+    """Queries (whole numbers) that go through trees together, each with its k best rows so far."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, least: list[int | None], m2: int) -> None:
+        self.ids, self.k, self.m2 = ids, k, m2
+        self.q2 = (q.astype(np.float64) ** 2).sum(axis=1)
+        both = float(self.q2.max(initial=0.0)) * m2
+        #: Single rows by plain integers where products leave the doubles.
+        self.wide = m2 >= EXACT or both >= IN_DOUBLES
+        self.kind = np.float32 if both < IN_FLOATS else np.float64
+        self.whole, self.least = (q, least) if self.wide else (None, None)
+        self.q = None if self.wide else q.astype(self.kind)
+        self.floor = np.array([-np.inf if x is None else x for x in least], np.float64)
+        self.scores, self.found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.work = 0, np.empty(TILE * SLAB, self.kind)
+        self.loose: list[tuple[int, int, int]] = []
+
+    def reach(self, at: np.ndarray) -> np.ndarray:
+        """The distance within which rows may still be among the best."""
+        return np.sqrt(np.maximum(0.0, self.q2[at] + self.m2 - 2 * self.floor[at])) * (1 + 1e-9) + 1e-6 * (1 + math.sqrt(self.m2))
+
+    def away(self, at: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        d2 = self.q2[at][:, None] + (centres * centres).sum(axis=1)[None, :] - 2 * (self.q[at].astype(np.float64) @ centres[:, :-1].T)
+        return np.sqrt(np.maximum(d2, 0.0))
+
+    def through(self, tree: MTree, skip: np.ndarray) -> None:
+        """Search a tree for all queries but those to skip."""
+        asked = np.flatnonzero(~skip)
+        if self.wide:
+            for i in asked.tolist():
+                self.loose += [(int(self.ids[i]), vec, s) for s, vec in tree.search(int(self.ids[i]), self.whole[i], self.k, self.least[i])]
+            return
+        rows = tree.v.astype(self.kind)
+        for start in range(0, len(asked), TILE):
+            at = asked[start : start + TILE]
+            at = at[self.away(at, tree.centre[None, :])[:, 0] - tree.radius <= self.reach(at)]
+            if len(at):
+                self.descend(tree, rows, at)
+
+    def descend(self, tree: MTree, rows: np.ndarray, at: np.ndarray) -> None:
+        heap = [(0.0, tree.root, at)]
+        while heap:
+            _, node, at = heapq.heappop(heap)
+            leaf, entries, _, radii = tree.nodes[node]
+            if leaf:
+                self.scan(tree, rows, at, int(entries[0]), int(entries[-1]) + 1) if len(entries) else None
+                continue
+            low = self.away(at, tree.middles[entries]) - radii
+            open_ = low <= self.reach(at)[:, None]
+            # Leaves that lie next to each other are read together.
+            leaves: list[tuple[int, int, int]] = []
+            for i in np.flatnonzero(open_.any(axis=0)).tolist():
+                child = tree.nodes[entries[i]]
+                if child[0] and len(child[1]):
+                    leaves.append((int(child[1][0]), int(child[1][-1]) + 1, i))
+                elif not child[0]:
+                    heapq.heappush(heap, (float(low[:, i].min()), int(entries[i]), at[open_[:, i]]))
+            leaves.sort()
+            while leaves:
+                n = 1
+                while n < len(leaves) and leaves[n][0] == leaves[n - 1][1] and leaves[n][1] - leaves[0][0] <= SLAB:
+                    n += 1
+                self.scan(tree, rows, at[open_[:, [i for _, _, i in leaves[:n]]].any(axis=1)], leaves[0][0], leaves[n - 1][1])
+                leaves = leaves[n:]
+
+    def scan(self, tree: MTree, rows: np.ndarray, at: np.ndarray, start: int, stop: int) -> None:
+        """Products of these queries and the rows of a slab; those that reach the floor are held."""
+        own = self.q[at[0] : at[-1] + 1] if at[-1] - at[0] + 1 == len(at) else self.q[at]
+        for first in range(start, stop, SLAB):
+            some = rows[first : min(first + SLAB, stop)]
+            scores = np.matmul(own, some.T, out=self.work[: len(at) * len(some)].reshape(len(at), len(some)))
+            over = np.flatnonzero(scores.max(axis=1) >= self.floor[at])
+            if len(over):
+                over_scores, of = scores[over], at[over]
+                r, c = np.nonzero(over_scores >= self.floor[of][:, None])
+                ids, of = tree.ids[first + c], of[r]
+                other = ids != self.ids[of]
+                self.hits.append((of[other], over_scores[r, c][other].astype(np.float64), ids[other]))
+                self.held += int(other.sum())
+        if self.held > 1 << 14:
+            self.settle()
+
+    def settle(self) -> None:
+        """Held rows go to the best of their queries."""
+        if not self.hits:
+            return
+        of, scores, ids = (np.concatenate([h[c] for h in self.hits]) for c in range(3))
+        self.hits, self.held = [], 0
+        own = np.unique(of)
+        of = np.concatenate([of, np.repeat(own, self.k)])
+        scores, ids = np.concatenate([scores, self.scores[own].ravel()]), np.concatenate([ids, self.found[own].ravel()])
+        order = np.lexsort((ids, -scores, of))
+        starts = np.searchsorted(of[order], own)
+        best = order[starts[:, None] + np.arange(self.k)]
+        self.scores[own], self.found[own] = scores[best], ids[best]
+        self.floor[own] = np.maximum(self.floor[own], self.scores[own, -1])
+
+    def results(self) -> pa.Table:
+        """query_id, vec_id, score of all that is left."""
+        self.settle()
+        row, rank = np.nonzero(self.scores > -np.inf)
+        held = [(q, i, max(-(1 << 63), min(s, (1 << 63) - 1))) for q, i, s in self.loose]
+        columns = [self.ids[row], self.found[row, rank], self.scores[row, rank].astype(np.int64)]
+        if self.wide:
+            columns = [[h[c] for h in held] for c in range(3)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def chained(points: np.ndarray) -> list[int]:
+    """All points, each followed by the nearest one that is left."""
+    order, left = [0], list(range(1, len(points)))
+    while left:
+        gap = ((points[left] - points[order[-1]]) ** 2).sum(axis=1)
+        order.append(left.pop(int(gap.argmin())))
+    return order
+
+
 def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score. rows, queries: vec_id and v of whole numbers."""
     spark = rows.sparkSession
     rows = saved(rows.withColumn("dim", F.size("v")), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    n, m2 = rows.agg(F.count(F.lit(1)), F.max(square)).first()
-    if not n:
+    n_rows, m2 = rows.agg(F.count(F.lit(1)), F.max(square)).first()
+    if not n_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     m2 = int(m2)
-    many = min(PIVOTS, max(8, n // PAGE))
+    # Components are moved in as few bytes as hold them.
+    q2 = queries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0.0
+    kind = "short" if max(m2, q2) < SHORT else "long"
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    many = min(PIVOTS, max(8, n_rows // PAGE))
     pivots: dict[int, np.ndarray] = {}
     for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(many).collect():  # PIVOTS at most
         pivots.setdefault(r["dim"], []).append(r["v"])
@@ -188,7 +325,7 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     away[at] = all_d[np.arange(len(at)), g]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), batch.column("dim"), pa.array(group), pa.array(away)], names=["vec_id", "v", "dim", "grp", "away"])
 
-    assigned = saved(rows.select("vec_id", "v", "dim").mapInArrow(dealt, "vec_id long, v array<long>, dim int, grp long, away double"), "assigned")
+    assigned = saved(rows.select("vec_id", "v", "dim").mapInArrow(dealt, f"vec_id long, v array<{kind}>, dim int, grp long, away double"), "assigned")
     cuts = F.percentile_approx("away", [(i + 1) / RINGS for i in range(RINGS - 1)], 1000)
     groups = assigned.groupBy("dim", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), cuts.alias("cuts"))
     groups = saved(groups.withColumn("trees", F.ceil(F.col("n") / PAGE)), "groups")
@@ -209,7 +346,7 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     trees = saved(with_tree.select("dim", "grp", "tree", "vec_id", "v", "away").groupBy("dim", "grp", "tree").applyInArrow(build, "dim int, grp long, tree long, least_away double, most_away double, pages binary"), "trees")
     placed = trees.drop("pages")
-    asked = saved(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().withColumn("dim", F.size("q")), "queries")
+    asked = saved(queries.select(F.col("vec_id").alias("query_id"), F.col("v").cast(f"array<{kind}>").alias("q")).distinct().withColumn("dim", F.size("q")), "queries")
 
     def own(batches):
         for batch in sliced(batches, 4096):
@@ -223,44 +360,73 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(away)], names=[*batch.schema.names, "grp", "away"])
 
     def search(key, left, right):
-        found = []
-        if len(left) and len(right):
-            tree = pickle.loads(left.column("pages")[0].as_py()).thaw()
-            for query, q, least in zip(right.column("query_id").to_pylist(), right.column("q").to_pylist(), right.column("least").to_pylist()):
-                found += [(query, i, max(-(1 << 63), min(s, (1 << 63) - 1))) for s, i in tree.search(query, np.array(q, dtype=np.int64), k, least)]
-        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
-
-    def searched(pairs: DataFrame) -> DataFrame:
-        """pairs: query_id, q, block, dim, grp, tree, least."""
-        keys = ("dim", "grp", "tree", "block")
-        needed = pairs.select(*keys).distinct()
-        paged = needed.join(trees.select("dim", "grp", "tree", "pages"), ["dim", "grp", "tree"]).select(*keys, "pages")
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
+        d = key[0].as_py()
+        searches = Searches(right.column("query_id").to_numpy(), matrix(right.column("q"), d), k, right.column("least").to_pylist(), m2)
+        homes = [right.column(c).to_numpy() for c in ("home_grp", "home_tree")]
+        for i in range(len(left)):
+            grp, tree = left.column("grp")[i].as_py(), left.column("tree")[i].as_py()
+            at_home = (homes[0] == grp) & (homes[1] == tree)
+            pages = pickle.loads(left.column("pages")[i].as_py()).thaw()
+            # At home first, then all others: no tree is searched twice for a query.
+            searches.through(pages, at_home if key[2].as_py() >= 0 else ~at_home)
+        return searches.results()
+
+    def searched(pairs: DataFrame, sent: DataFrame) -> DataFrame:
+        """pairs: dim, block, shelf, grp, tree; sent: dim, block, shelf and the queries that go there."""
+        keys = ("dim", "block", "shelf")
+        paged = pairs.join(trees.select("dim", "grp", "tree", "pages"), ["dim", "grp", "tree"]).select(*keys, "grp", "tree", "pages")
+        sent = sent.select(*keys, "query_id", "q", "home_grp", "home_tree", "least")
         # New column identities: both sides come from one table.
-        paged = paged.toDF(*paged.columns)
-        hits = paged.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-        return best(hits)
+        paged, sent = paged.toDF(*paged.columns), sent.toDF(*sent.columns)
+        return paged.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
 
     def best(hits: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    homed = saved(asked.mapInArrow(own, "query_id long, q array<long>, dim int, grp long, away double"), "homed")
-    # A block holds queries of one pivot: they search much the same trees.
-    parts = homed.groupBy("dim", "grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    homed = saved(homed.join(parts, ["dim", "grp"]).withColumn("block", F.col("grp") * (1 << 32) + F.pmod(F.xxhash64("query_id"), F.col("parts"))).drop("parts"), "blocks")
+    homed = saved(asked.mapInArrow(own, f"query_id long, q array<{kind}>, dim int, grp long, away double"), "homed")
+    # A block holds queries of one pivot or of several that lie near each other: they search much the same trees.
+    asking = homed.groupBy("dim", "grp").agg(F.count(F.lit(1)).alias("n"))
+    counts = {(r["dim"], r["grp"]): r["n"] for r in asking.where(F.col("dim").isin(list(pivots))).collect()}  # PIVOTS at most
+    blocks: dict[tuple[int, int], tuple[int, int]] = {}
+    block = 0
+    for d, points in pivots.items():
+        inside = 0
+        for g in chained(points):
+            n = counts.get((d, g), 0)
+            if inside and inside + n > BLOCK:
+                block, inside = block + 1, 0
+            parts = max(1, -(-n // BLOCK))
+            blocks[d, g] = (block, parts)
+            block, inside = (block + parts, 0) if parts > 1 else (block, inside + n)
+        block += 1
+    placing = spark.createDataFrame([(d, g, at, parts) for (d, g), (at, parts) in blocks.items()], "dim int, grp long, at long, of long")
+    # Lengths without a pivot: blocks of their own.
+    apart = asking.select("dim", "grp", F.ceil(F.col("n") / BLOCK).alias("own_of"))
+    homed = homed.join(apart, ["dim", "grp"]).join(F.broadcast(placing), ["dim", "grp"], "left")
+    homed = homed.withColumn("block", F.coalesce("at", F.lit(0)) + F.pmod(F.xxhash64("query_id"), F.coalesce("of", "own_of"))).drop("at", "of", "own_of")
     gap = F.greatest(F.col("least_away") - F.col("away"), F.col("away") - F.col("most_away"), F.lit(0.0))
     home = homed.join(placed, ["dim", "grp"]).groupBy("query_id", "q", "dim", "block", "grp").agg(F.min_by("tree", F.struct(gap.alias("gap"), "tree")).alias("tree"))
-    home = saved(home.withColumn("least", F.lit(None).cast("long")), "home")
-    first = saved(searched(home).drop("rank"), "first")
+    home = saved(home, "home")
+    at_home = home.withColumnsRenamed({"grp": "home_grp", "tree": "home_tree"}).withColumn("least", F.lit(None).cast("long"))
+    # A tree and the queries at home in it make a shelf; such shelves are negative, so that they are told from the others.
+    own_shelf = lambda grp, tree: -1 - (F.col(grp) * (1 << 40) + F.col(tree))
+    first = searched(home.select("dim", "block", "grp", "tree").distinct().withColumn("shelf", own_shelf("grp", "tree")), at_home.withColumn("shelf", own_shelf("home_grp", "home_tree")))
+    first = saved(best(first).drop("rank"), "first")
     kth = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id", "least")
+    asked = saved(at_home.drop("least").join(kth, "query_id", "left"), "asked")
 
     def others(batches):
+        """Of each block, the groups that remain for some query, and between which distances to their pivot."""
         for batch in sliced(batches, 4096):
-            out = []
-            for d in set(batch.column("dim").to_pylist()):
-                at = np.flatnonzero(batch.column("dim").to_numpy() == d)
+            out: dict[tuple[int, int, int], tuple[float, float]] = {}
+            dims, block = batch.column("dim").to_numpy(), batch.column("block").to_numpy()
+            for d, own_block in sorted({*zip(dims.tolist(), block.tolist())}):
+                at = np.flatnonzero((dims == d) & (block == own_block))
                 if d not in pivots:
-                    out += [(int(i), 0, 0.0, math.inf) for i in at]
+                    out[d, own_block, 0] = (-math.inf, math.inf)
                     continue
                 part = batch.take(pa.array(at))
                 q = matrix(part.column("q"), d)
@@ -270,16 +436,20 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 reach = np.array([math.inf if x is None else math.sqrt(max(0.0, a + m2 - 2 * x)) * (1 + 1e-9) + 1e-6 * (1 + math.sqrt(m2)) for x, a in zip(least, q2.tolist())])
                 for g in range(away.shape[1]):
                     if (d, g) in radii:
-                        out += [(int(at[i]), g, float(away[i, g]), float(reach[i])) for i in np.flatnonzero(away[:, g] - radii[d, g] <= reach)]
-            index, *more = ([o[c] for o in out] for c in range(4))
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(index, pa.int64())).columns, *(pa.array(c, t) for c, t in zip(more, (pa.int64(), pa.float64(), pa.float64())))], names=[*batch.schema.names, "grp", "away", "reach"])
-
-    rest = homed.join(kth, "query_id", "left").select("query_id", "q", "dim", "block", "least")
-    rest = rest.mapInArrow(others, "query_id long, q array<long>, dim int, block long, least long, grp long, away double, reach double")
-    # Of the groups that remain, the trees whose ring remains and that were not searched before.
-    rest = rest.join(placed, ["dim", "grp"]).where(gap <= F.col("reach") * (1 + 1e-9) + 1e-6)
-    rest = saved(rest.join(home.select("query_id", "q", "dim", "grp", "tree"), ["query_id", "q", "dim", "grp", "tree"], "left_anti").select("query_id", "q", "dim", "block", "least", "grp", "tree"), "rest")
-    second = searched(rest).drop("rank")
+                        left = away[:, g] - radii[d, g] <= reach
+                        if left.any():
+                            more = reach[left] * (1 + 1e-9) + 1e-6
+                            out[d, own_block, g] = (float((away[left, g] - more).min()), float((away[left, g] + more).max()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64()))), *(pa.array([x[c] for x in out.values()], pa.float64()) for c in range(2))], names=["dim", "block", "grp", "low", "high"])
+
+    rest = asked.select("q", "dim", "block", "least").mapInArrow(others, "dim int, block long, grp long, low double, high double")
+    rest = rest.groupBy("dim", "block", "grp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # Of the groups that remain, the trees whose ring remains.
+    rest = saved(rest.join(placed, ["dim", "grp"]).where("most_away >= low and least_away <= high").select("dim", "grp", "tree", "block"), "rest")
+    shelves = max(LEAST_SHELVES, -(-n_rows // SHELF))
+    rest = rest.withColumn("shelf", F.pmod(F.xxhash64("dim", "grp", "tree"), F.lit(shelves)))
+    # Each block goes once to each shelf that it needs.
+    second = searched(rest, asked.join(rest.select("dim", "block", "shelf").distinct(), ["dim", "block"]))
     return best(first.unionByName(second)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -83,3 +83,46 @@ def test_shuffled_pages_follow_the_searches(vectors, monkeypatch):
     blocks = -(-120 // 8)
     # Clusters far from a query are never opened: well under every tree for every block.
     assert home <= 120 and home + rest < 0.7 * trees * blocks
+
+
+def test_blocks_hold_the_queries_of_many_pivots(vectors, monkeypatch):
+    """What is shuffled grows with trees times blocks: few queries of many pivots are one block, not one for each pivot."""
+    monkeypatch.setattr(mt, "PAGE", 100)
+    monkeypatch.setattr(mt, "PIVOTS", 24)
+    monkeypatch.setattr(mt, "TILE", 16)
+    monkeypatch.setattr(mt, "SLAB", 64)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(24)]) for i in range(1500)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    sent, saved = [], mt.saved
+
+    def counted(df, name, **options):
+        out = saved(df, name, **options)
+        if name == "rest":
+            sent.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(mt, "saved", counted)
+    own = mt.quantised(vectors(rows), "vec_id", "embedding", 256)
+    assert sorted(map(tuple, mt.topk(own, own.where("vec_id % 10 = 0")).collect())) == brute(rows, every=10)
+    assert len({r.grp for r in sent}) > 4 and len({r.block for r in sent}) == 1
+
+
+@pytest.mark.parametrize("scale", [100, 1 << 15, 1 << 27])
+def test_queries_that_descend_together(scale, monkeypatch):
+    """Single floats, doubles and plain integers."""
+    monkeypatch.setattr(mt, "TILE", 16)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.integers(-scale, scale, (900, 6)), np.tile(rng.integers(-scale, scale, (1, 6)), (300, 1))])
+    m2 = int((v.astype(object) ** 2).sum(axis=1).max())
+    trees = [mt.MTree(np.arange(len(v))[k::2], v[k::2], m2).thaw() for k in range(2)]
+    asked = np.arange(0, len(v), 25)
+    found = mt.Searches(asked, v[asked], 5, [None] * len(asked), m2)
+    for tree in trees:
+        found.through(tree, np.zeros(len(asked), bool))
+    best = {}
+    for q, i, s in zip(*found.results().to_pydict().values()):
+        best.setdefault(q, []).append((-s, i))
+    for q in asked.tolist():
+        scores = v.astype(object) @ v[q].astype(object)
+        assert sorted(best[q])[:5] == sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
