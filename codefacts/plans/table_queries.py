@@ -96,8 +96,8 @@ def q_forward_join(spark, sf_dir):
 
 
 def docs_windows(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[^ \\t\\n\\r]+"), 0).alias("tokens"))
-    return docs.select("doc_id", similarity.once(similarity.windows("tokens")).alias("windows"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return docs.select("doc_id", similarity.once(similarity.text_windows("text", " \t\n\r")).alias("windows"))
 
 
 def q_near_duplicate_docs(spark, sf_dir):

@@ -1,6 +1,8 @@
 """Generic operators and the queries over fact rows against SQL."""
 
 import random
+import re
+import time
 from collections import Counter
 
 import duckdb
@@ -89,3 +91,21 @@ def test_relational(spark):
     order = spark.createDataFrame([("src/a.ts",), ("src/a/b.ts",), ("x.ts",)], "p string").orderBy(relational.path_order("p"))
     assert [r.p for r in order.collect()] == ["src/a/b.ts", "src/a.ts", "x.ts"]
     assert [r[0] for r in order.select(relational.parent_dir("p")).collect()] == ["src/a", "src", ""]
+
+
+def test_text_windows(spark):
+    text = "a B\tc\n\rd  e f\x0bg " * 30
+    rows = spark.createDataFrame([(1, text), (2, "a b"), (3, None), (4, text + "h")], "id int, text string")
+    found = {r.id: list(r.w) for r in rows.select("id", similarity.text_windows("text", " \t\n\r", 4).alias("w")).collect()}
+    tokens = [w for w in re.split("[ \t\n\r]+", text) if w]
+    assert (found[2], found[3]) == ([], []) and len(found[1]) == len(tokens) - 3 and found[4][:-1] == found[1]
+    runs = [tuple(tokens[i : i + 4]) for i in range(len(tokens) - 3)]
+    assert len(set(zip(runs, found[1]))) == len(set(runs)) == len(set(found[1]))
+
+
+def test_overlaps_of_long_items_take_time_by_their_length(spark):
+    began = time.monotonic()
+    rows = [(1, list(range(60_000))), (2, list(range(50_000)) + list(range(70_000, 80_000))), (3, list(range(100_000, 160_000)))]
+    groups = similarity.profiles(spark.createDataFrame(rows, "id int, windows array<long>"), ["id"])
+    assert [(r.a.id, r.b.id, round(r.confidence, 4)) for r in similarity.overlaps(groups).collect()] == [(1, 2, 0.8333)]
+    assert time.monotonic() - began < 60
