@@ -53,6 +53,15 @@ class Vocabulary:
             ends.setdefault(token[-3:], set()).add(len(token))
         self.ends = {end: sorted(lengths, reverse=True) for end, lengths in ends.items()}
 
+        self.tails: dict[bytes, list[int]] = {}
+
+    def lengths(self, tail: bytes) -> list[int]:
+        """The lengths of usable tokens that may end in these (three at most) bytes, longest first."""
+        if len(self.tails) > 200_000:
+            self.tails.clear()
+        found = self.tails[tail] = [n for i in range(len(tail)) for n in self.ends.get(tail[i:], ())]
+        return found
+
     def merged(self, data: bytes, below: int) -> list[int]:
         """Plain BPE by the merges that come before a rank."""
         ids = [self.ranks[data[i : i + 1]] for i in range(len(data))]
@@ -121,23 +130,21 @@ class Prefixes:
     def _extend(self, start: int, stop: int | None = None) -> None:
         """Find the last tokens of the prefixes that end behind start, up to stop."""
         v, data, last = self.vocabulary, self.data, self.last
-        ends, usable, apart, stay_apart = v.ends.get, v.usable.get, v.apart.get, v.stay_apart
+        ends, usable, apart, stay_apart = v.tails.get, v.usable.get, v.apart.get, v.stay_apart
         for end in range(start + 1, (len(data) if stop is None else stop) + 1):
-            for most in (3, 2, 1) if end > 2 else (2, 1) if end > 1 else (1,):
-                for n in ends(data[end - most : end], ()):
-                    if n <= end and (token := usable(data[end - n : end])) is not None:
-                        if n == end:
-                            break
-                        before = last[end - n - 1]
-                        known = apart((before, token))
-                        if known or known is None and stay_apart(before, token):
-                            break
-                else:
-                    continue
-                last.append(token)
-                break
+            tail = data[end - 3 : end] if end > 2 else data[:end]
+            lengths = ends(tail)
+            for n in v.lengths(tail) if lengths is None else lengths:
+                if n <= end and (token := usable(data[end - n : end])) is not None:
+                    if n == end:
+                        break
+                    before = last[end - n - 1]
+                    known = apart((before, token))
+                    if known or known is None and stay_apart(before, token):
+                        break
             else:
                 raise ValueError(f"a byte outside the vocabulary: {data[end - 1 : end]!r}")
+            last.append(token)
 
     def edit(self, start: int, stop: int, data: bytes) -> int:
         """Replace bytes start to stop; returns how many prefixes were found anew.
@@ -226,24 +233,34 @@ class Coder:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the comma-joined ids, SHA-256 of the bytes that they decode to."""
-        if ODD_SPACE.search(text) is None:
-            first, *rest = text.split(" ")
-            found = [self.numbers(first), *map(self.words.__getitem__, rest)] if first else list(map(self.words.__getitem__, rest))
-        else:
+        first, *rest = text.split(" ")
+        try:
+            found = list(map(self.words.__getitem__, rest))
+            if first:
+                found.insert(0, self.numbers(first))
+        except OddSpaceError:
             found = [self.numbers(c) for c in chunks(text)]
         ids = ",".join(found)
         decoded = b"".join(map(self.bytes_of.__getitem__, found))
         return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+class OddSpaceError(Exception):
+    """A space that another white space follows, or the end: pieces cross it."""
+
+
 class Words(dict):
-    """A word without spaces to the ids of a space and the word."""
+    """A word without spaces to the ids of a space and the word; no word that begins with white space, nor an empty one, is kept."""
 
     def __init__(self, coder: Coder) -> None:
         self.coder = coder
 
     def __missing__(self, word: str) -> str:
-        found = self.coder.numbers(" " + word)
+        if ODD_SPACE.match(" " + word):
+            raise OddSpaceError
+        ids = self.coder.encode(" " + word)
+        found = ",".join(map(str, ids))
+        self.coder.bytes_of.learn(found, ids)
         if len(word) <= Coder.LONGEST:
             if len(self) >= Coder.CHUNKS:
                 self.clear()
@@ -258,7 +275,10 @@ class Decoded(dict):
         self.coder = coder
 
     def __missing__(self, ids: str) -> bytes:
-        found = self.coder.decode(map(int, ids.split(","))) if ids else b""
+        return self.learn(ids, map(int, ids.split(",")) if ids else ())
+
+    def learn(self, ids: str, numbers: Iterable[int]) -> bytes:
+        found = self.coder.decode(numbers)
         if len(ids) <= 6 * Coder.LONGEST:
             if len(self) >= Coder.CHUNKS:
                 self.clear()
@@ -302,11 +322,17 @@ def chunks(text: str) -> list[str]:
     return [x for x in out if x]
 
 
+@functools.lru_cache(1)
+def kept_coder(ranks_path: str, pattern: str) -> Coder:
+    """One coder for all tasks of a worker: the vocabulary is built once, and pieces stay known (CHUNKS of each kind at most)."""
+    return Coder(Vocabulary(read_ranks(ranks_path)), pattern)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of each row's whole text. ranks_path: a local file that every executor has."""
 
     def make():
-        coder = Coder(Vocabulary(read_ranks(ranks_path)), pattern)
+        coder = kept_coder(ranks_path, pattern)
         return lambda ids, texts: [list(c) for c in zip(*map(coder.digest, texts), strict=True)]
 
     return mapped(docs.select(id_col, text_col), make, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -63,3 +63,14 @@ def test_documents(frame, odd_rows, library):
         expected.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
     assert prefix_bpe.op10(frame([])).collect() == []
+
+
+def test_one_vocabulary_for_all_tasks_of_a_worker(vocabulary, library):
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coder = prefix_bpe.kept_coder(path, tokenizers.PATTERN)
+    assert prefix_bpe.kept_coder(path, tokenizers.PATTERN) is coder
+    # Odd spaces are seen whether words are known or not, and leave nothing behind.
+    for text in ["", " ", "a", " a", "a ", "a  b", "a b", "a \nb", "a \x1cb", "a \x85b", "a \u3000b", "a\n b", "a b", "a b "]:
+        ids = library.encode_ordinary(text)
+        assert coder.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), repr(text)
+    assert "" not in coder.words and all(not w[0].isspace() for w in coder.words)
