@@ -242,7 +242,7 @@ class Copies:
     """The near copies of a table: rows (row, tag) and, of all rows with copies, their group."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        self.rows = saved(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("tag")), "rows")
+        self.rows = saved(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("tag")), "rows", compression="zstd")
         self.id, self.text = F.col(f"row.{id_col}"), text_of(f"row.{text_col}")
 
         def make():
@@ -262,7 +262,7 @@ class Copies:
     def texts(self, wanted: DataFrame) -> DataFrame:
         """node and text of some nodes; other rows may pass where the filter lets them, and meet no pair."""
         own = self.rows.select("tag", self.text.alias("text"))
-        return saved(maybe_in(own, "tag", bloom(wanted, "node")).where("maybe").select(F.col("tag").alias("node"), "text"), "texts")
+        return saved(maybe_in(own, "tag", bloom(wanted, "node")).where("maybe").select(F.col("tag").alias("node"), "text"), "texts", compression="zstd")
 
     def linked(self) -> DataFrame:
         """node, root: the nodes that have links, with the least node of their component."""

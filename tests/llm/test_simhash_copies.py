@@ -131,3 +131,17 @@ def test_chance_of_a_pair_to_meet():
         missed += not ((own <= sc.RADIUS) & (np.roll(own, -1) <= sc.FAR)).any()
     assert abs(np.mean(apart) / (sc.TABLES * sc.BITS) - 0.1) < 0.005
     assert max(apart) <= sc.FAR_IN_ALL and missed <= 3
+
+
+def test_copies_of_texts_on_disk_are_packed(frame, monkeypatch):
+    written, saved = {}, sc.saved
+
+    def kept_names(df, name, **options):
+        out = saved(df, name, **options)
+        written.setdefault(name, []).extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(sc, "saved", kept_names)
+    rows = block_copies(9, 4)
+    assert kept(frame, rows) == sorted((r for r in rows if r[0] < 4), key=repr)
+    assert written["rows"] and written["texts"] and all(".zstd." in f for n in ("rows", "texts") for f in written[n])
