@@ -145,3 +145,108 @@ def test_copies_of_texts_on_disk_are_packed(frame, monkeypatch):
     rows = block_copies(9, 4)
     assert kept(frame, rows) == sorted((r for r in rows if r[0] < 4), key=repr)
     assert written["rows"] and written["texts"] and all(".zstd." in f for n in ("rows", "texts") for f in written[n])
+
+
+def pulled_apart(seed, n, words, edits):
+    """A family in which most pairs are similar by a little less than 0.8."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), edits if i % 10 else 1):
+            copy[at] = f"x{rng.randrange(100_000)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def rows_written(monkeypatch):
+    counts, saved = {}, sc.saved
+
+    def counted(df, name, **options):
+        out = saved(df, name, **options)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(sc, "saved", counted)
+    return counts
+
+
+def test_pairs_of_a_family_grow_with_its_texts(frame, monkeypatch):
+    # The pairs that meet: about a third of the square.
+    rows = pulled_apart(21, 300, 150, 3)
+    counts = rows_written(monkeypatch)
+    assert kept(frame, rows) == slow_kept(rows)
+    assert counts["candidates"] < 10 * len(rows) and counts["close"] < 4 * len(rows)
+
+
+def test_a_family_beyond_a_task(frame, monkeypatch):
+    rows = family(23, 200, 120, 9) + [(1000 + i, t) for i, t in pulled_apart(22, 150, 150, 4)]
+    monkeypatch.setattr(sc, "IN_TASK", 500)
+    counts = rows_written(monkeypatch)
+    assert kept(frame, rows) == slow_kept(rows)
+    assert counts["apart"] > 100
+
+
+def components_of(n, pairs):
+    import numpy as np
+
+    a, b = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    return sc.united(np.arange(n), a, b).tolist()
+
+
+def test_all_links_of_a_family():
+    import numpy as np
+
+    rng = random.Random(31)
+    several = [family(s, 90, 60 + 20 * s, s + 1) for s in range(8)] + [pulled_apart(9, 90, 150, k) for k in (2, 3, 4)]
+    # Two families as one, no common text at all, chains, copies, and texts of a shingle or none.
+    several += [several[1] + several[2], block_copies(4, 12), [(0, ""), (1, None), (2, "a b"), (3, "A B"), (4, "a b c d e f"), (5, "a b c d e g")], [(0, "a"), (1, "b")]]
+    chain = [f"c{k}" for k in range(100)]
+    several.append([(i, " ".join(chain[i:] + [f"e{k}" for k in range(i)])) for i in range(60)])
+    for rows in several:
+        sets, n = [sc.shingles(t or "") for _, t in rows], len(rows)
+        # Exactly as by the words.
+        words = [five_words(t) for _, t in rows]
+        links = [(i, j) for i in range(n) for j in range(i) if jaccard(words[i], words[j]) >= 0.8]
+        size, alone = np.array([len(s) for s in sets]), np.arange(n)
+        for some in (sets, sets[:2], sets[-1:]):
+            center = sc.Center(some)
+            differences = [center.difference(s) for s in sets]
+            assert all(set(d.tolist()) == set(s.tolist()) ^ set(center.shingles.tolist()) for d, s in zip(differences, sets, strict=True))
+            assert sc.settled(differences, size, alone).tolist() == components_of(n, links)
+            # Links known before, by any names; parts, each by itself, that the next goes on from.
+            before = sc.places(np.array([rng.randrange(3) if k % 4 == 0 else 100 + k for k in range(n)]))
+            known = components_of(n, links + [(i, int(r)) for i, r in enumerate(before)])
+            assert sc.settled(differences, size, before).tolist() == known
+            of_parts = [sc.settled(differences, size, alone, part, 3) for part in range(3)]
+            assert components_of(n, [(i, int(r)) for found in of_parts for i, r in enumerate(found)]) == components_of(n, links)
+
+
+def test_who_meets_is_of_one_family(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 12, dtype=np.uint64)
+    entries = np.empty(400, sc.ENTRY)
+    entries["print"] = base[rng.integers(0, 12, 400)]
+    for _ in range(3):
+        entries["print"] ^= np.uint64(1) << rng.integers(0, 59, 400, dtype=np.uint64)
+    entries["print"] &= np.uint64(2**59 - 1)
+    entries["node"], entries["size"] = np.arange(400), rng.integers(80, 140, 400)
+    entries["root"] = entries["node"] // 2 * 2
+    fps, check, size, root = entries["print"] >> np.uint64(32), entries["print"] & np.uint64(2**32 - 1), entries["size"], entries["root"]
+    # Within half the radius of one variant.
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    ok = (apart <= sc.RADIUS) & (np.bitwise_count(check[:, None] ^ check[None, :]) <= sc.FAR) & (5 * np.minimum(size[:, None], size) >= 4 * np.maximum(size[:, None], size)) & (root[:, None] != root)
+    links = [(int(root[i]), int(root[j])) for i, j in zip(*np.nonzero(ok), strict=True)]
+
+    def families():
+        a, b, _ = sc.met(entries, 5, 0, False)
+        assert len(a) < 200 and set(a.tolist()) | set(b.tolist()) <= set(root.tolist())
+        return components_of(400, list(zip(a.tolist(), b.tolist(), strict=True)))
+
+    assert families() == components_of(400, links)
+    monkeypatch.setattr(sc, "LOOK", 2)
+    coarse = families()
+    assert all(coarse[a] == coarse[b] for a, b in links)
