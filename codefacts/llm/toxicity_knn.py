@@ -8,7 +8,8 @@ depends on the label (likelihood-ratio statistic G2 above what chance gives one
 times as much as the others, which decide between examples that have the same of these or none. The index
 holds each term's postings over the examples in blocks, with the largest value in each block. A search
 bounds every block by the sum of its terms' largest values, opens blocks from the highest bound on, and
-stops when no bound reaches the K-th cosine found: the K nearest are exact.
+stops when no bound reaches the K-th cosine found: the K nearest are exact. Where no term has more than HEAVY of a
+text's squared length, bounds are sums of many small values and rule out next to nothing: all blocks are opened at once.
 
 The neighbours vote with the square of their cosine; a logistic curve fitted on the examples' own
 leave-one-out votes turns vote and largest cosine into a probability. The neighbours are the evidence.
@@ -44,8 +45,10 @@ from codefacts.llm.common import BATCH_ROWS, arrow_batches, mapped, saved, text_
 
 #: Labelled rows that are fitted at most; neighbours; examples in a block.
 EXAMPLES, K, BLOCK = 4000, 15, 128
-#: Blocks that are opened before the others are ruled out.
-FIRST = 4
+#: Blocks that are opened before the others are ruled out; the share of a squared length from which on bounds are made.
+FIRST, HEAVY = 4, 0.1
+#: Characters of the texts whose terms are looked up together (a longer text comes alone).
+LOT = 1 << 20
 #: Share of the examples beyond which a term is common.
 COMMON = 0.05
 #: What a term that does not depend on the label weighs against one that does.
@@ -71,6 +74,23 @@ def counted(text: str) -> Counter:
     return out
 
 
+def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """WORD's matches in the lower-cased texts, and the text of each: the runs of letters and numbers between the places where these begin and end."""
+    lower = [t.lower() for t in texts]
+    whole = "\n".join(lower)
+    points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    present = np.flatnonzero(np.bincount(points))
+    inside = np.zeros(int(present[-1]) + 1 if len(present) else 0, bool)
+    inside[present] = [chr(c).isalnum() for c in present.tolist()]
+    edges = np.flatnonzero(np.diff(inside[points], prepend=False, append=False))
+    # As Arrow strings: each run and, behind it, what lies between it and the next.
+    at = np.zeros(len(points) + 1, np.int32)
+    np.cumsum(np.ones(len(points), np.int8) + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=at[1:])
+    runs = pa.StringArray.from_buffers(max(0, len(edges) - 1), pa.py_buffer(at[edges]), pa.py_buffer(whole.encode()))
+    starts = np.cumsum([0] + [len(t) + 1 for t in lower])
+    return runs.take(pa.array(np.arange(0, len(edges), 2))), np.searchsorted(starts, edges[::2], side="right") - 1
+
+
 def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of the ranges, and of each the number of its range."""
     lengths = end - start
@@ -121,11 +141,16 @@ class Index:
         """
         return (1 + np.log(self.count)) / self.norms[self.whole.astype(np.int8), self.at]
 
+    @cached_property
+    def start(self) -> np.ndarray:
+        """The first posting of each term."""
+        return self.first[self.of_term].astype(np.int64)
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "value"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("value", "start")}
 
     def unit(self, tf: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and values of a text's vector, of length 1."""
+        """Terms and values of a text's vector, of length 1: without common terms, or of these alone."""
         tf = dict(sorted(tf.items()))
         t = np.fromiter(tf, np.int64, len(tf))
         n = np.fromiter(tf.values(), np.float64, len(tf))
@@ -137,7 +162,13 @@ class Index:
     def nearest(self, q: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest of cosine above 0, by cosine, then place. but: an example left out."""
         t, v = q
+        heavy = len(v) and float(v.max()) ** 2 > HEAVY
         v = v * self.weights[t]
+        if not heavy:
+            start = self.start[t]
+            posting, own = spread(start, self.start[t + 1])
+            self.opened += self.blocks
+            return [(-s, i) for s, i in self.best(posting, v[own], k, but)]
         entry, of = spread(self.of_term[t].astype(np.int64), self.of_term[t + 1].astype(np.int64))
         blocks = self.block[entry].astype(np.int64)
         bound = np.bincount(blocks, v[of] * self.largest[entry], self.blocks)
@@ -154,19 +185,20 @@ class Index:
             wanted[some] = True
             open_ = np.flatnonzero(wanted[blocks])
             posting, own = spread(self.first[entry[open_]].astype(np.int64), self.first[entry[open_] + 1].astype(np.int64))
-            at = self.at[posting]
-            sums = np.bincount(at, v[of[open_]][own] * self.value[posting], len(self.labels))
-            if but >= 0:
-                sums[but] = 0
-            found = np.flatnonzero(sums > 0)
-            if len(found) > k:
-                # All that tie with the k-th stay until they are sorted.
-                kth = np.partition(sums[found], len(found) - k)[len(found) - k]
-                found = found[sums[found] >= kth - 1e-11]
-            best = sorted(best + [(-round(float(sums[i]), 12), int(i)) for i in found])[:k]
+            best = sorted(best + self.best(posting, v[of[open_]][own], k, but))[:k]
             self.opened += len(some)
         return [(-s, i) for s, i in best]
 
+    def best(self, posting: np.ndarray, v: np.ndarray, k: int, but: int) -> list[tuple[float, int]]:
+        """(-cosine, example) of the k first by these postings, given what each is multiplied with."""
+        sums = np.bincount(self.at[posting], v * self.value[posting], len(self.labels))
+        if but >= 0:
+            sums[but] = 0
+        # All that tie with the k-th stay until they are sorted.
+        kth = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
+        found = np.flatnonzero(sums >= kth - 1e-11 if kth > 1e-11 else sums > 0)
+        return sorted([(-round(s, 12), i) for s, i in zip(sums[found].tolist(), found.tolist())])[:k]
+
     def vote(self, near: list[tuple[float, int]]) -> tuple[float, float] | None:
         """Share of the squared cosines that toxic neighbours have, and the largest cosine."""
         if not near:
@@ -205,53 +237,68 @@ class Fitted:
     def index(self) -> Index:
         return pickle.loads(zstandard.decompress(self.pages))
 
-    def scorer(self) -> Callable[[str], tuple[float, list]]:
+    def scorer(self) -> Callable[[list[str]], list[tuple[float, list]]]:
         return Scorer(self.index(), self.curve)
 
 
 class Scorer:
-    """Scores texts; the terms of chunks and the answers to texts seen before are looked up."""
-
-    CHUNKS = 150_000
+    """Scores texts, many together; the answers to texts seen before are looked up."""
 
     def __init__(self, index: Index, curve: Curve | None = None) -> None:
-        self.index, self.curve, self.chunks, self.answers = index, curve, {}, {}
-        self.place = {t: i for i, t in enumerate(index.terms)}
-        self.common = index.common.tolist()
-
-    def vector(self, text: str) -> dict[int, float]:
-        """Terms and counts: without common terms, or of these alone."""
-        place, common, chunks = self.place, self.common, self.chunks
-        tf: dict[int, int] = {}
-        counts = Counter(text.split())
-        for chunk, n in counts.items():
-            if (own := chunks.get(chunk)) is None:
-                own = tuple(t for term in terms_of(chunk) if (t := place.get(term)) is not None and not common[t])
-                if len(chunks) >= self.CHUNKS:
-                    chunks.clear()
-                if len(chunk) <= 64:
-                    chunks[chunk] = own
-            for t in own:
-                tf[t] = tf.get(t, 0) + n
-        if not tf:
-            for chunk, n in counts.items():
-                for t in filter(None.__ne__, map(place.get, terms_of(chunk))):
-                    tf[t] = tf.get(t, 0) + n
-        return tf
-
-    def near(self, text: str, but: int = -1) -> list[tuple[float, int]]:
-        tf = self.vector(text)
-        return self.index.nearest(self.index.unit(tf), K, but) if tf else []
-
-    def __call__(self, text: str) -> tuple[float, list]:
-        key = xxhash.xxh3_128_digest(text)
-        if (answer := self.answers.get(key)) is None:
-            near = self.near(text)
-            answer = self.curve.score(self.index.vote(near)), [self.index.ids[i] for _, i in near[:3]]
-            if len(self.answers) >= 10_000:
-                self.answers.clear()
-            self.answers[key] = answer
-        return answer
+        self.index, self.curve, self.answers = index, curve, {}
+        self.terms = pa.array(index.terms, pa.string())
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The places of each word's terms (the word, its prefixes), -1 where no example has one."""
+        lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        cut = [pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), "~", "") for n in (4, 5)]
+        # The index's terms come first and are distinct, so that their codes are their places. (index_in takes six times as long to hash them.)
+        coded = pa.concat_arrays([self.terms, words, *cut]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        found = coded[len(self.terms) :].reshape(3, -1).astype(np.int64)
+        return np.where((found < len(self.terms)) & np.stack([lengths >= 0, lengths > 4, lengths > 5]), found, -1)
+
+    def vectors(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Each text's vector; None: no example has any of its terms. White space is no part of words, so that whole texts are cut as their chunks are."""
+        index, size = self.index, max(1, len(self.index.terms))
+        words, of = words_of(texts)
+        coded = words.dictionary_encode()
+        places, code = self.places(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+        plain = np.where(places >= 0, ~index.common[places], False) if len(index.terms) else places >= 0
+        key, count = np.unique((of * size + places[:, code])[plain[:, code]], return_counts=True)
+        ends = np.searchsorted(key, np.arange(len(texts) + 1) * size)
+        of_key = np.repeat(np.arange(len(texts)), np.diff(ends))
+        term = key - of_key * size
+        value = (1 + np.log(count)) * index.weights[term]
+        value /= np.maximum(1e-300, np.sqrt(np.bincount(of_key, value * value, len(texts))))[of_key]
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            if a < b:
+                yield term[a:b], value[a:b]
+            else:
+                own = places[:, code[of == i]]
+                tf = Counter(own[own >= 0].tolist())
+                yield index.unit(tf) if tf else None
+
+    def near(self, texts: list[str], but: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """The neighbours of each text, but for one example."""
+        at = 0
+        while at < len(texts):
+            end, chars = at + 1, len(texts[at])
+            while end < len(texts) and chars + len(texts[end]) <= LOT:
+                chars, end = chars + len(texts[end]), end + 1
+            for i, q in enumerate(self.vectors(texts[at:end]), at):
+                yield self.index.nearest(q, K, -1 if but is None else but[i]) if q is not None else []
+            at = end
+
+    def __call__(self, texts: list[str]) -> list[tuple[float, list]]:
+        keys = [xxhash.xxh3_128_digest(t) for t in texts]
+        known = {k: self.answers[k] for k in keys if k in self.answers}
+        new = {k: t for k, t in zip(keys, texts) if k not in known}
+        for k, near in zip(new, self.near(list(new.values())), strict=True):
+            known[k] = self.curve.score(self.index.vote(near)), [self.index.ids[i] for _, i in near[:3]]
+        if len(self.answers) + len(new) > 10_000:
+            self.answers.clear()
+        self.answers.update(known)
+        return [known[k] for k in keys]
 
 
 class Constant:
@@ -260,10 +307,10 @@ class Constant:
     def __init__(self, share: float) -> None:
         self.share = share
 
-    def __call__(self, text: str) -> tuple[float, list]:
-        return self.share, []
+    def __call__(self, texts: list[str]) -> list[tuple[float, list]]:
+        return [(self.share, [])] * len(texts)
 
-    def scorer(self) -> Callable[[str], tuple[float, list]]:
+    def scorer(self) -> Callable[[list[str]], list[tuple[float, list]]]:
         return self
 
 
@@ -310,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted | Constant:
         place = {i: k for k, i in enumerate(scorer.index.ids)}
 
         def run(ids, texts):
-            votes = [scorer.index.vote(scorer.near(t, place[i])) or (None, None) for i, t in zip(ids, texts)]
+            votes = [scorer.index.vote(near) or (None, None) for near in scorer.near(texts, [place[i] for i in ids])]
             return [list(c) for c in zip(*votes, strict=True)]
 
         return run
@@ -346,7 +393,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def make():
         scorer = fitted.scorer()
-        return lambda ids, texts: [list(c) for c in zip(*map(scorer, texts), strict=True)]
+        return lambda ids, texts: [list(c) for c in zip(*scorer(texts), strict=True)]
 
     return mapped(docs.select("doc_id", "text"), make, "score double, evidence array<long>")
 
@@ -364,7 +411,7 @@ def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = fitted.scorer()
         for texts in batches:
-            yield pd.Series([scorer(t or "")[0] for t in texts], dtype="float64")
+            yield pd.Series([s for s, _ in scorer([t or "" for t in texts])], dtype="float64")
 
     # Written at once, as the bound of the Arrow batches holds for that job alone.
     with arrow_batches(docs.sparkSession, BATCH_ROWS):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codefacts.llm import toxicity_knn as tk
@@ -124,3 +125,40 @@ def test_block_max_search_is_exact(seed):
         left = index.nearest(q, tk.K, near[0][1])
         assert near[0][1] not in {i for _, i in left} and len(left) == min(tk.K, sum(c > 0 for c in cosines) - 1)
     assert index.opened < 100 * index.blocks
+
+
+def test_texts_are_cut_and_looked_up_together(monkeypatch):
+    """No text is cut or looked up by itself, and each gets what it gets alone."""
+    rows, labels, _ = corpus(300, 7)
+    texts = dict(rows)
+    own = [tk.counted(texts[i]) for i, _, _ in labels]
+    index = tk.built(pa.array([list(c) for c in own]), pa.array([list(c.values()) for c in own], pa.list_(pa.int32())), np.array([t for _, _, t in labels], float), [i for i, _, _ in labels])
+    odd = ["", " \n", "a_b \u0391\u03a3 \u0391\u03a3\u0391_\u03a3. \u0130x \u01c5 \u00b2\u00b3 \u2167\u4e2d\u6587\U00012606 \u00df", "\x1c\x85_", "\u00e9" * 9, "scum_SCUM\x1cScum\u3000idiot", *BAD]
+    texts = [t for _, t in rows[::3]] + odd
+    scorer, place = tk.Scorer(index, tk.Curve([(0.2, 0.3), (0.9, 0.8)], [0.0, 1.0])), {t: i for i, t in enumerate(index.terms)}
+    alone = []
+    for text in texts:
+        tf = {place[t]: n for t, n in slow_terms(text).items() if t in place}
+        alone.append(index.nearest(index.unit(tf), tk.K) if tf else [])
+    calls = []
+    monkeypatch.setattr(tk, "terms_of", lambda chunk: calls.append(chunk))
+    for lot in (tk.LOT, 500):
+        monkeypatch.setattr(tk, "LOT", lot)
+        for a, b in zip(scorer.near(texts), alone, strict=True):
+            assert len(a) == len(b) and all(abs(x[0] - y[0]) < 1e-9 for x, y in zip(a, b))
+    words, of = tk.words_of(odd)
+    assert list(zip(words.to_pylist(), of.tolist())) == [(w, i) for i, t in enumerate(odd) for w in tk.WORD.findall(t.lower())]
+    assert scorer(texts + texts) == scorer(texts) * 2 and scorer([]) == [] and not calls
+
+
+def test_flat_vectors_open_all_blocks_at_once():
+    """Where no term is heavy, bounds would rule out nothing and are not made; what is found is the same."""
+    rng = random.Random(3)
+    vectors = [rng.sample(range(300), 60) for _ in range(700)]
+    posted = [(t, i, 1) for i, v in enumerate(vectors) for t in v]
+    index = tk.Index([str(t) for t in range(300)], np.ones(300), np.zeros(300, bool), *(np.array(c) for c in zip(*posted)), np.zeros(700), list(range(700)))
+    query = rng.sample(range(300), 50)
+    index.largest = None
+    near = index.nearest(index.unit(dict.fromkeys(query, 1)), tk.K)
+    cosines = sorted((-round(len(set(query) & set(vectors[i])) / math.sqrt(50 * 60), 12), k) for k, i in enumerate(index.ids))
+    assert [i for _, i in near] == [i for _, i in cosines[: tk.K]] and index.opened == index.blocks
