@@ -47,19 +47,24 @@ class Vocabulary:
             if len(token) > 1 and len(pair := self.merged(token, rank)) == 2:
                 self.parts[rank] = (pair[0], pair[1])
                 self.usable[token] = rank
-        #: The lengths of the usable tokens by their last three bytes, longest first; shorter ones by all their bytes.
-        ends: dict[bytes, set[int]] = {}
-        for token in self.usable:
-            ends.setdefault(token[-3:], set()).add(len(token))
-        self.ends = {end: sorted(lengths, reverse=True) for end, lengths in ends.items()}
-
-        self.tails: dict[bytes, list[int]] = {}
-
-    def lengths(self, tail: bytes) -> list[int]:
-        """The lengths of usable tokens that may end in these (three at most) bytes, longest first."""
-        if len(self.tails) > 200_000:
-            self.tails.clear()
-        found = self.tails[tail] = [n for i in range(len(tail)) for n in self.ends.get(tail[i:], ())]
+        self.starts = {token[:n] for token in self.usable for n in range(1, len(token) + 1)}
+        #: An automaton, made as it is used. A state is the longest beginning of a usable token that the bytes so far end in: the next
+        #: states by byte, the usable tokens that end here (their lengths, ids) under -1, longest first, and its bytes under -2.
+        self.states: dict[bytes, dict] = {}
+        self.root = self.state(b"")
+
+    def state(self, data: bytes) -> dict:
+        if (found := self.states.get(data)) is None:
+            ends = tuple((len(data) - i, self.usable[data[i:]]) for i in range(len(data)) if data[i:] in self.usable)
+            found = self.states[data] = {-1: ends, -2: data}
+        return found
+
+    def step(self, state: dict, byte: int) -> dict:
+        """The state behind one more byte, kept with the state before: beginnings of tokens, times bytes that follow them, at most."""
+        data = state[-2] + bytes([byte])
+        while data and data not in self.starts:
+            data = data[1:]
+        found = state[byte] = self.state(data)
         return found
 
     def merged(self, data: bytes, below: int) -> list[int]:
@@ -118,9 +123,10 @@ class Vocabulary:
 class Prefixes:
     """The last token of every prefix of a byte string."""
 
-    def __init__(self, vocabulary: Vocabulary, data: bytes = b"") -> None:
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
-        self.append(data)
+    def __init__(self, vocabulary: Vocabulary, data: bytes = b"", known: list[int] | None = None) -> None:
+        """known: the last tokens of the data's first prefixes, which another table has."""
+        self.vocabulary, self.data, self.last = vocabulary, data, known or []
+        self._extend(len(self.last))
 
     def append(self, data: bytes) -> None:
         start = len(self.data)
@@ -130,18 +136,20 @@ class Prefixes:
     def _extend(self, start: int, stop: int | None = None) -> None:
         """Find the last tokens of the prefixes that end behind start, up to stop."""
         v, data, last = self.vocabulary, self.data, self.last
-        ends, usable, apart, stay_apart = v.tails.get, v.usable.get, v.apart.get, v.stay_apart
-        for end in range(start + 1, (len(data) if stop is None else stop) + 1):
-            tail = data[end - 3 : end] if end > 2 else data[:end]
-            lengths = ends(tail)
-            for n in v.lengths(tail) if lengths is None else lengths:
-                if n <= end and (token := usable(data[end - n : end])) is not None:
-                    if n == end:
-                        break
-                    before = last[end - n - 1]
-                    known = apart((before, token))
-                    if known or known is None and stay_apart(before, token):
-                        break
+        apart, stay_apart, step = v.apart.get, v.stay_apart, v.step
+        state = v.root
+        # A state is no longer than the longest token.
+        for byte in data[max(0, start - v.longest) : start]:
+            state = state.get(byte) or step(state, byte)
+        for end, byte in enumerate(data[start:stop], start + 1):
+            state = state.get(byte) or step(state, byte)
+            for n, token in state[-1]:
+                if n == end:
+                    break
+                before = last[end - n - 1]
+                known = apart((before, token))
+                if known or known is None and stay_apart(before, token):
+                    break
             else:
                 raise ValueError(f"a byte outside the vocabulary: {data[end - 1 : end]!r}")
             last.append(token)
@@ -183,16 +191,25 @@ class Coder:
     CHUNKS, LONGEST = 500_000, 48
     #: Lengths of the beginnings whose tables are kept.
     STEMS = (9, 7, 5)
+    #: The pattern whose matches in a space, letters and a sign are known without it.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.words, self.bytes_of = Words(self), Decoded(self)
+        self.words = Words(self)
+        self.decimal = {i: str(i) for i in vocabulary.tokens}
         self.pieces: dict[str, list[int]] = {}
         self.stems: dict[bytes, list[int]] = {}
 
     def split(self, text: str) -> list[str]:
         """The pattern's matches, letters and numbers being what tiktoken's own tables say."""
         if text.isascii() or max(text) < "\u0250":
+            # A space, letters and at most one other sign: the most frequent words.
+            if text[:1] == " " and text[1:-1].isalpha() and self.pattern.pattern == self.WORDS:
+                if text[-1].isalpha():
+                    return [text]
+                if not text[-1].isalnum() and not text[-1].isspace():
+                    return [text[:-1], text[-1]]
             return self.pattern.findall(text)
         alike = "".join([c if c < "\u0250" else stand_in(c) for c in text])
         return [text[m.start() : m.end()] for m in self.pattern.finditer(alike)]
@@ -216,20 +233,24 @@ class Coder:
 
     def prefixes(self, data: bytes) -> Prefixes:
         """The table of a piece, appended to the table of a beginning that other pieces share."""
-        n = next((n for n in self.STEMS if n < len(data) and data[:n] in self.stems), 0)
-        p = Prefixes(self.vocabulary)
-        p.data, p.last = data[:n], self.stems[data[:n]][:] if n else []
-        p.append(data[n:])
+        size, n, known = len(data), 0, None
+        for n in self.STEMS:
+            if n < size and (known := self.stems.get(data[:n])) is not None:
+                break
+        else:
+            n = 0
+        p = Prefixes(self.vocabulary, data, known and known[:])
         for stem in self.STEMS:
-            if n < stem < len(data):
+            if n < stem < size:
                 if len(self.stems) >= self.CHUNKS:
                     self.stems.clear()
                 self.stems[data[:stem]] = p.last[:stem]
         return p
 
-    def numbers(self, text: str) -> str:
-        """The ids of a text in decimal, joined by commas."""
-        return ",".join(map(str, self.encode(text)))
+    def both(self, text: str) -> tuple[str, bytes]:
+        """The ids of a text in decimal, joined by commas, and the bytes that they decode to."""
+        ids = self.encode(text)
+        return ",".join([self.decimal[i] for i in ids]), self.decode(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the comma-joined ids, SHA-256 of the bytes that they decode to."""
@@ -237,11 +258,11 @@ class Coder:
         try:
             found = list(map(self.words.__getitem__, rest))
             if first:
-                found.insert(0, self.numbers(first))
+                found.insert(0, self.both(first))
         except OddSpaceError:
-            found = [self.numbers(c) for c in chunks(text)]
-        ids = ",".join(found)
-        decoded = b"".join(map(self.bytes_of.__getitem__, found))
+            found = [self.both(c) for c in chunks(text)]
+        ids = ",".join([f[0] for f in found])
+        decoded = b"".join([f[1] for f in found])
         return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
@@ -250,17 +271,15 @@ class OddSpaceError(Exception):
 
 
 class Words(dict):
-    """A word without spaces to the ids of a space and the word; no word that begins with white space, nor an empty one, is kept."""
+    """A word without spaces to the ids of a space and the word, and their bytes; no word that begins with white space, nor an empty one, is kept."""
 
     def __init__(self, coder: Coder) -> None:
         self.coder = coder
 
-    def __missing__(self, word: str) -> str:
-        if ODD_SPACE.match(" " + word):
+    def __missing__(self, word: str) -> tuple[str, bytes]:
+        if not word or word[0].isspace():
             raise OddSpaceError
-        ids = self.coder.encode(" " + word)
-        found = ",".join(map(str, ids))
-        self.coder.bytes_of.learn(found, ids)
+        found = self.coder.both(" " + word)
         if len(word) <= Coder.LONGEST:
             if len(self) >= Coder.CHUNKS:
                 self.clear()
@@ -268,24 +287,6 @@ class Words(dict):
         return found
 
 
-class Decoded(dict):
-    """Comma-joined ids to the bytes that they decode to."""
-
-    def __init__(self, coder: Coder) -> None:
-        self.coder = coder
-
-    def __missing__(self, ids: str) -> bytes:
-        return self.learn(ids, map(int, ids.split(",")) if ids else ())
-
-    def learn(self, ids: str, numbers: Iterable[int]) -> bytes:
-        found = self.coder.decode(numbers)
-        if len(ids) <= 6 * Coder.LONGEST:
-            if len(self) >= Coder.CHUNKS:
-                self.clear()
-            self[ids] = found
-        return found
-
-
 @functools.cache
 def _class(pattern: str):
     import tiktoken

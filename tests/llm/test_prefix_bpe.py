@@ -74,3 +74,43 @@ def test_one_vocabulary_for_all_tasks_of_a_worker(vocabulary, library):
         ids = library.encode_ordinary(text)
         assert coder.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), repr(text)
     assert "" not in coder.words and all(not w[0].isspace() for w in coder.words)
+
+
+def test_common_words_need_no_pattern(vocabulary):
+    """A space, letters and at most one other sign are cut without the pattern, as it would cut them."""
+    coder = prefix_bpe.Coder(vocabulary, tokenizers.PATTERN)
+    for c in map(chr, range(0x250)):
+        for text in (" ab" + c, " a" + c + "b", " " + c + "b", c + "ab", " " + c, c, " a" + c + c, " a'" + c):
+            assert coder.split(text) == coder.pattern.findall(text), repr(text)
+    for c in map(chr, range(0x110000)):
+        assert c.isspace() == (prefix_bpe.ODD_SPACE.match(" " + c) is not None), repr(c)
+    calls, whole = [], coder.pattern
+
+    class Counted:
+        pattern = whole.pattern
+
+        def findall(self, text):
+            calls.append(text)
+            return whole.findall(text)
+
+    coder.pattern = Counted()
+    coder.digest("The answer, here: über señor. isn't 12 b4")
+    assert sorted(calls) == sorted(["The", " isn't", " 12", " b4"])
+
+
+def test_one_look_for_a_byte_that_ends_no_other_token(vocabulary):
+    """Tokens that end at a byte are known from the state: none is sought by its bytes again."""
+    data = "Ertion thereñ über 1234 中文字".encode()
+    known = prefix_bpe.Prefixes(vocabulary, data)
+    expected = {n: [(i, vocabulary.usable[data[n - i : n]]) for i in range(min(n, vocabulary.longest), 0, -1) if data[n - i : n] in vocabulary.usable] for n in range(1, len(data) + 1)}
+    state = vocabulary.root
+    for n, byte in enumerate(data, 1):
+        state = state.get(byte) or vocabulary.step(state, byte)
+        assert list(state[-1]) == expected[n]
+    usable, vocabulary.usable = vocabulary.usable, None
+    try:
+        assert prefix_bpe.Prefixes(vocabulary, data).last == known.last
+    finally:
+        vocabulary.usable = usable
+    for n in (0, 1, 5, 9, len(data)):
+        assert prefix_bpe.Prefixes(vocabulary, data, known.last[:n]).last == known.last
